@@ -31,7 +31,7 @@ from folioflow.llm.storage import written
 #: Characters that don't count (fixed values): space, tab, CR, LF, U+00A0, U+3000.
 IGNORED = " \t\r\n 　"
 THRESHOLD, WIDTH, LEAST = 0.70, 5, 60
-GROUPS, SLACK, BLOCK = 16, 2, 6_000_000
+GROUPS, SLACK, BLOCK = 16, 2, 1_000_000
 
 
 def normalised(text: F.Column) -> F.Column:
