@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioflow.llm import near_duplicates as nd
+from folioflow.llm import similar_vectors as sv
 from folioflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +47,47 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = nd.near_duplicates(table(spark, sf_dir, "novel_chunks"))
     return nd.duplicate_groups(members, links)
+
+
+def _vector_tables(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
+    return [
+        ("novel_chunks", "id", table(spark, sf_dir, "novel_chunks")),
+        ("hierarchy_summaries", "summary_id", table(spark, sf_dir, "hierarchy_summaries")),
+    ]
+
+
+def _p5_sql(name: str, key: str) -> str:
+    return f"""SELECT DISTINCT '{name}' AS tbl, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
+  SELECT x.i AS a, y.i AS b, list_cosine_similarity(x.v, y.v) AS c, row_number() OVER (PARTITION BY x.i ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.i) AS r
+  FROM v_{name} x JOIN v_{name} y ON x.i <> y.i AND list_cosine_similarity(x.v, y.v) >= 0.92::DOUBLE) WHERE r <= 10"""
+
+
+def _p5_with(name: str, key: str) -> str:
+    return f"""v_{name} AS MATERIALIZED (SELECT {key} AS i, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM {name}
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0)"""
+
+
+@query(
+    "WITH "
+    + ", ".join(_p5_with(*x) for x in (("novel_chunks", "id"), ("hierarchy_summaries", "summary_id")))
+    + " "
+    + " UNION ALL ".join(_p5_sql(*x) for x in (("novel_chunks", "id"), ("hierarchy_summaries", "summary_id")))
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, key, df in _vector_tables(spark, sf_dir):
+        near = sv.neighbours_above(df, key)
+        pairs = near.select(
+            F.lit(name).alias("tbl"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")
+        ).distinct()
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+@query()
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, key, df in _vector_tables(spark, sf_dir):
+        near = sv.nearest(df, F.col("id") % 50 == 0, key).select(F.lit(name).alias("tbl"), "id", "other", "cosine", "rank")
+        out = near if out is None else out.unionByName(near)
+    return out
