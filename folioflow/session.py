@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir`` (one Parquet file or a folder of them)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_folioflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="folioflow-")) / "folioflow_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._folioflow_shipped = True
