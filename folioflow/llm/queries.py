@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm import conversations as conv
+from folioflow.llm import garbled_text as garbled
+from folioflow.llm import mixing, packing, sentences, splitting, tokens
 from folioflow.llm import near_duplicates as nd
 from folioflow.llm import similar_vectors as sv
 from folioflow.session import table
@@ -91,3 +94,95 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = sv.nearest(df, F.col("id") % 50 == 0, key).select(F.lit(name).alias("tbl"), "id", "other", "cosine", "rank")
         out = near if out is None else out.unionByName(near)
     return out
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [
+        ("novel_chunks", table(spark, sf_dir, "novel_chunks"), "id", "text"),
+        ("parsed_chunks", table(spark, sf_dir, "parsed_chunks"), "row_id", "text"),
+    ]
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    affected, _ = garbled.find_garbled(_texts(spark, sf_dir))
+    return affected.select("tbl", "row_id").distinct()
+
+
+@query()
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    affected, _ = garbled.find_garbled(_texts(spark, sf_dir))
+    return affected.select("tbl", "row_id", "restored", "complete", "how")
+
+
+@query()
+def p2_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, votes = garbled.find_garbled(_texts(spark, sf_dir))
+    return votes
+
+
+@query("SELECT id FROM novel_chunks WHERE length(text) > 500")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("id")
+
+
+@query()
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_rows(table(spark, sf_dir, "novel_chunks"), keep=("novel", "chunk_id"))
+
+
+_P4_SQL = r"""
+WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index ORDER BY created_at DESC NULLS LAST, status DESC NULLS LAST, content DESC NULLS LAST, role DESC NULLS LAST) AS k
+  FROM chat_turns WHERE session_id IS NOT NULL AND turn_index IS NOT NULL) WHERE k = 1),
+f AS (SELECT session_id, count(*) AS n, min(turn_index) AS lo, max(turn_index) AS hi,
+  count(*) FILTER (WHERE coalesce(lower(trim(role)), '') <> CASE WHEN turn_index % 2 = 0 THEN 'user' ELSE 'assistant' END) AS bad_role,
+  count(*) FILTER (WHERE content IS NULL OR regexp_full_match(content, '[\s\x{00A0}\x{3000}\x{200B}\x{FEFF}]*')) AS bad_content,
+  count(*) FILTER (WHERE turn_index % 2 = 1 AND coalesce(status, '') <> 'complete') AS bad_status FROM r GROUP BY session_id)
+SELECT s.session_id FROM (SELECT DISTINCT session_id FROM chat_turns WHERE session_id IS NOT NULL) s LEFT JOIN f USING (session_id)
+WHERE NOT coalesce(lo = 0 AND hi = n - 1 AND n % 2 = 0 AND n >= 2 AND bad_role = 0 AND bad_content = 0 AND bad_status = 0, false)
+"""
+
+
+@query(_P4_SQL)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv.session_facts(table(spark, sf_dir, "chat_turns")).where("reason IS NOT NULL").select("session_id")
+
+
+@query()
+def p4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv.conversations(table(spark, sf_dir, "chat_turns"))
+
+
+@query()
+def p4_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv.session_facts(table(spark, sf_dir, "chat_turns"))
+
+
+@query()
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+
+
+@query()
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.sized(table(spark, sf_dir, "documents"), keep=("source",))
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+@query()
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
