@@ -7,7 +7,7 @@ What lies in containers that stay notably open is packed again in fewer groups,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +87,10 @@ def _pack(table: pa.Table, tag: int, full_share: float) -> pa.Table:
     )
 
 
+def _packer(tag: int, full_share: float) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _pack(table, tag, full_share)
+
+
 _SCHEMA = "spec string, capacity int, doc_id long, part int, token_start long, tokens long, container string, open boolean"
 
 
@@ -121,7 +125,7 @@ def pack(
         totals = todo.groupBy("spec").agg(F.ceil(F.count("*") / group_items).cast("int").alias("groups"))  # a row a spec
         grouped = todo.join(F.broadcast(totals), "spec").withColumn("grp", F.pmod(F.xxhash64("doc_id", "part", F.lit(tag)), F.col("groups")).cast("int"))
         packed = written(
-            grouped.drop("groups").groupBy("spec", "grp").applyInArrow(lambda t, tag=tag: _pack(t, tag, full_share), _SCHEMA), "p6-packed"
+            grouped.drop("groups").groupBy("spec", "grp").applyInArrow(_packer(tag, full_share), _SCHEMA), "p6-packed"
         )
         last = tag == rounds - 1
         out = out.unionByName(packed if last else packed.where("NOT open"))
