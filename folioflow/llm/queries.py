@@ -105,7 +105,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str,
 
 @query()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    affected, _ = garbled.find_garbled(_texts(spark, sf_dir))
+    affected, _ = garbled.find_garbled(_texts(spark, sf_dir), restoring=False)
     return affected.select("tbl", "row_id").distinct()
 
 
