@@ -74,8 +74,8 @@ def chunk_books(books: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, o
         F.first("title").alias("title"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "pieces"))), lambda x: x["pieces"])).alias("pieces"),
     )
-    chunks = by_section.select(key, "section", "title", F.posexplode(pack_pieces(F.col("pieces"), size, overlap)).alias("k", "text"))
-    order = Window.partitionBy(key).orderBy("section", "k")
+    chunks = by_section.select(key, "section", "title", F.posexplode(pack_pieces(F.col("pieces"), size, overlap)).alias("_k", "text"))
+    order = Window.partitionBy(key).orderBy("section", "_k")
     return chunks.select(key, (F.row_number().over(order) - 1).alias("chunk_id"), "title", "text")
 
 

@@ -26,7 +26,7 @@ class Snapshots:
             raise ValueError("the snapshot does not pass its check; nothing was published")
         name = f"v={uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
-        temporary, pointer = self._path(f"{self.root}/_next"), self._path(f"{self.root}/_CURRENT")
+        temporary, pointer = self._path(f"{self.root}/NEXT"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(temporary, True)
         out.write(name.encode())
         out.close()
@@ -36,10 +36,10 @@ class Snapshots:
         return name
 
     def current(self) -> str | None:
-        pointer = self._path(f"{self.root}/_CURRENT")
+        pointer = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.root}/_CURRENT").first()["value"]
+        return self.spark.read.text(f"{self.root}/CURRENT").first()["value"]
 
     def read_current(self) -> DataFrame:
         name = self.current()
