@@ -141,8 +141,8 @@ def cut_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFr
         ranges.mapInArrow(lambda it: _detect(it, size), "item long, range_no long, length long, places array<long>, strengths array<int>"),
         "p3-boundaries",
     )
-    edge = F.col("range_no") * size
-    several = found.where(F.col("length") > size)
+    edge = F.col("edge")
+    several = found.where(F.col("length") > size).withColumn("edge", F.col("range_no") * size)
     head = several.select(
         "item", (F.col("range_no") - 1).alias("range_no"),
         F.filter("places", lambda p: p < edge + limit).alias("after"),
