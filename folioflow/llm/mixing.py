@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.storage import written
 
-GOLDEN, BLOCK_TOKENS, BUCKET_ROWS, MOST_SLOTS = 0.6180339887498949, 4_096, 5_000, 500_000
+GOLDEN, BLOCK_TOKENS, BUCKET_ROWS, MOST_SLOTS, SPARE = 0.6180339887498949, 512, 5_000, 500_000, 16
 
 
 def source_name(source: F.Column) -> F.Column:
@@ -85,27 +85,37 @@ def mix(
         "p7-blocks",
     )
     filled = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
+    in_source = Window.partitionBy("source").orderBy("block")
     # blocks that no document fell into are skipped
-    numbered = filled.withColumn("no", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
-    stats = filled.groupBy("source").agg(F.count("*").alias("n"), F.avg("t").alias("mean"))
-    sloted = known.join(stats, "source").withColumn("rate", F.col("weight") / F.col("mean"))
-    sloted = sloted.withColumn("slots", F.min(F.col("n") * F.col("cap") / F.col("rate")).over(by_recipe))
+    numbered = written(
+        filled.select(
+            "source", "block", (F.row_number().over(in_source) - 1).alias("no"),
+            (F.sum("t").over(in_source) - F.col("t") / 2).alias("middle"), F.count("*").over(Window.partitionBy("source")).alias("n"),
+        ),
+        "p7-numbered",
+    )
+    # how many blocks come nearest to the source's share: whole rounds, then part of one
+    need = planned.withColumn("need", F.col("size") * F.col("weight")).withColumn(
+        "rounds", F.least(F.col("cap"), F.floor(F.col("need") / F.col("have") + 1e-9))
+    )
+    part = need.withColumn("rest", F.when(F.col("rounds") < F.col("cap"), F.col("need") - F.col("rounds") * F.col("have")).otherwise(0.0))
+    counted = part.join(numbered, "source").groupBy("recipe", "source", "rounds", "n").agg(F.count_if(F.col("middle") <= F.col("rest")).alias("more"))
+    plan = counted.withColumn("take", F.col("rounds") * F.col("n") + F.col("more")).where("take > 0")
     order = by_recipe.orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("rate").over(by_recipe)
-    plan = sloted.select(
-        "recipe", "source", "n", "cap",
-        F.ceil(F.col("slots") * total).cast("long").alias("slots"),
-        ((F.sum("rate").over(order) - F.col("rate")) / total).alias("low"),
-        (F.sum("rate").over(order) / total).alias("high"),
+    total = F.sum("take").over(by_recipe)
+    plan = plan.select(
+        "recipe", "source", "n", "take",
+        # enough points for the rarest source, whose count strays by a few from its share
+        (total + F.ceil(SPARE * total / F.min("take").over(by_recipe))).cast("long").alias("slots"),
+        ((F.sum("take").over(order) - F.col("take")) / total).alias("low"),
+        (F.sum("take").over(order) / total).alias("high"),
     )
     plan = written(plan, "p7-plan")  # a row a target
     numbers = plan.select("recipe", "slots").distinct().withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)")))
     point = F.col("slot") * F.lit(GOLDEN) % 1.0
-    slots = numbers.withColumn("u", point).join(
-        F.broadcast(plan.drop("slots")), ["recipe"]
-    ).where("u >= low AND u < high")
+    slots = numbers.withColumn("u", point).join(F.broadcast(plan.drop("slots")), ["recipe"]).where("u >= low AND u < high")
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("recipe", "source").orderBy("slot")) - 1)
-    ranked = ranked.where(F.col("r") < F.col("n") * F.col("cap")).select(
+    ranked = ranked.where(F.col("r") < F.col("take")).select(
         "recipe", "source", "slot", (F.col("r") % F.col("n")).alias("no"), (F.floor(F.col("r") / F.col("n")) + 1).cast("int").alias("use_no")
     )
     mixture = (
