@@ -14,7 +14,9 @@ part on its own, one Spark partition per part, and no pair is lost:
 * pairs of all parts are made distinct and checked on the texts themselves, with no hash.
 
 Merging is a sort of (document, document) keys in blocks of bounded size, the array form of
-the heap. Exact copies are one document until the end.
+the heap. Exact copies are one document until the end. Where a part would hold more than
+``part_rows`` documents they are split into blocks by key, and each pair of blocks is a task of
+its own, so that no task grows with the collection.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from folioflow.llm.storage import written
 #: Characters that don't count (fixed values): space, tab, CR, LF, U+00A0, U+3000.
 IGNORED = " \t\r\n 　"
 THRESHOLD, WIDTH, LEAST = 0.70, 5, 60
-GROUPS, SLACK, BLOCK = 16, 2, 1_000_000
+GROUPS, SLACK, BLOCK, PART_ROWS = 16, 2, 1_000_000, 1_000_000
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -97,9 +99,10 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int, groups: int) -> Itera
 
 
 def divide_skip(
-    keys: np.ndarray, n: np.ndarray, offsets: np.ndarray, runs: np.ndarray, t: float, slack: int, block: int
+    keys: np.ndarray, n: np.ndarray, offsets: np.ndarray, runs: np.ndarray, t: float, slack: int, block: int, side: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of documents of one part whose overlap there reaches ``t``; see the module text."""
+    """Pairs of documents of one part whose overlap there reaches ``t``; see the module text.
+    With ``side`` only pairs of documents on different sides."""
     ndoc = len(keys)
     size = np.diff(offsets)
     doc = np.repeat(np.arange(ndoc), size)
@@ -142,6 +145,8 @@ def divide_skip(
         nlo, nhi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         fit = (lo >= t * hi - 1e-9) | (hi * t < 1)
         fit &= nlo >= t * nhi - 1e-9
+        if side is not None:
+            fit &= side[a] != side[b]
         pair = np.sort(a[fit] * ndoc + b[fit])
         if not len(pair):
             continue
@@ -169,22 +174,36 @@ def _search(batches: Iterator[pa.RecordBatch], t: float, slack: int, block: int)
     if not got:
         return
     table = pa.Table.from_batches(got)
-    part = table.column("part").to_numpy()
-    for p in np.unique(part):
-        own = table.filter(pa.array(part == p)).combine_chunks()
+    task = table.column("task").to_numpy()
+    for p in np.unique(task):
+        own = table.filter(pa.array(task == p)).combine_chunks()
         keys, index = np.unique(own.column("key").to_numpy(), return_index=True)  # copies meet here
         own = own.take(pa.array(index)).combine_chunks()
         lists = own.column("runs").chunk(0)
         runs = lists.flatten().to_numpy()
         offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
         n = own.column("n").to_numpy().astype(np.int64)
-        for a, b in divide_skip(keys, n, offsets, runs, t, slack, block):
+        side = own.column("side").to_numpy()
+        for a, b in divide_skip(keys, n, offsets, runs, t, slack, block, side if (side != side[0]).any() else None):
             ka, kb = keys[a], keys[b]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(ka, kb)), pa.array(np.maximum(ka, kb))], names=["key_a", "key_b"]
             )
 
 
+def _tasks(slices: DataFrame, groups: int, blocks: int) -> DataFrame:
+    """``slices`` with ``task`` and ``side``: a task is a part and a pair of blocks of documents."""
+    side = F.pmod("key", F.lit(blocks)).cast("int")
+    if blocks == 1:
+        return slices.withColumn("task", F.col("part")).withColumn("side", F.lit(0)).repartitionById(groups, F.col("task"))
+    wide = slices.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("side", "other"), F.greatest("side", "other")
+    pair = (high * (high + 1) / 2).cast("int") + low
+    pairs = blocks * (blocks + 1) // 2
+    placed = wide.withColumn("task", F.col("part") * pairs + pair).drop("other")
+    return placed.repartitionById(groups * pairs, F.col("task"))
+
+
 def resemblance(a: str, b: str, width: int = WIDTH) -> float:
     """Jaccard of the sets of runs of two normalised texts."""
     x, y = ({s[i : i + width] for i in range(len(s) - width + 1)} for s in (a, b))
@@ -212,6 +231,7 @@ def near_duplicates(
     groups: int = GROUPS,
     slack: int = SLACK,
     block: int = BLOCK,
+    part_rows: int = PART_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: members(id, key) has every row that takes part, ``key`` naming its
     class of equal normalised texts; links(key_a, key_b, resemblance) has every pair of classes
@@ -227,7 +247,8 @@ def near_duplicates(
     slices = base.select("key", "norm").mapInArrow(
         lambda it: _slices(it, width, groups), "part int, key long, n int, runs array<int>"
     )
-    found = slices.repartitionById(groups, F.col("part")).mapInArrow(
+    blocks = max(1, -(-df.count() // part_rows))
+    found = _tasks(slices, groups, blocks).mapInArrow(
         lambda it: _search(it, threshold, slack, block), "key_a long, key_b long"
     )
     pairs = written(found.distinct(), "p1-pairs")

@@ -38,12 +38,12 @@ def brute(rows, t=nd.THRESHOLD):
     )
 
 
-@pytest.mark.parametrize(("groups", "slack"), [(16, 2), (3, 0), (5, 4)])
-def test_pairs_against_brute_force(spark, groups, slack):
+@pytest.mark.parametrize(("groups", "slack", "part_rows"), [(16, 2, 1000), (3, 0, 40), (5, 4, 1000)])
+def test_pairs_against_brute_force(spark, groups, slack, part_rows):
     rows = list(enumerate(texts()))
     rows += [(1000, rows[0][1]), (1001, rows[0][1] + "　\n"), (1002, None), (1003, ""), (1004, "短"), (None, rows[0][1]), (1005, "很" * 100), (1006, "很" * 90)]
     df = spark.createDataFrame([(i, x, "k", 1, "p") for i, x in rows], SCHEMA)
-    members, links = nd.near_duplicates(df, groups=groups, slack=slack, block=500)
+    members, links = nd.near_duplicates(df, groups=groups, slack=slack, block=500, part_rows=part_rows)
     got = sorted((r["id_a"], r["id_b"]) for r in nd.row_pairs(members, links).collect())
     assert got == brute(rows) and len(got) > 20
 
