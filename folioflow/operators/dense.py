@@ -28,30 +28,48 @@ def _blocks(rows: DataFrame, keys: list[str], vec: str, size: int) -> DataFrame:
     return numbered.groupBy("_b").agg(F.collect_list(F.struct(*keys, vec)).alias("rows")).drop("_b")
 
 
-def _top(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _unpacked(rows: pa.ListArray, i: int, vec: str) -> tuple[pa.StructArray, np.ndarray]:
+    own = rows.slice(i, 1).flatten()
+    flat = own.field(vec).flatten().to_numpy(zero_copy_only=False)
+    return own, flat.astype(np.float64).reshape(len(own), -1)
+
+
+def _top(batches: Iterator[pa.RecordBatch], k: int, per_book: bool) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of a block for each query, or of each book in it, with everything that ties."""
     for batch in batches:
-        for r in batch.to_pylist():
-            asked, rows = r["asked"], r["rows"]
-            q = np.array([x["vec"] for x in asked], np.float64)
-            e = np.array([x["embedding"] for x in rows], np.float64)
+        for i in range(batch.num_rows):
+            asked, q = _unpacked(batch.column("asked"), i, "vec")
+            rows, e = _unpacked(batch.column("rows"), i, "embedding")
             score = np.round((q @ e.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(e, axis=1)[None], 6)
-            out = []
-            for i, x in enumerate(asked):
-                n = min(k, len(rows))
-                least = np.partition(score[i], -n)[-n]
-                near = np.flatnonzero(score[i] >= least)  # with everything that ties
-                out += [(x["qid"], rows[j]["novel"], rows[j]["chunk_id"], float(score[i, j])) for j in near]
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["qid", "novel", "chunk_id", "score"]
-            )
+            book = np.unique(np.array(rows.field("novel").to_pylist(), object), return_inverse=True)[1] if per_book else np.zeros(len(rows), np.int64)
+            for n in range(len(q)):
+                order = np.lexsort((-score[n], book))
+                first = np.searchsorted(book[order], np.arange(book.max() + 1))
+                last = np.minimum(first + k, np.r_[first[1:], len(order)]) - 1
+                least = score[n][order[last]]  # each book's k-th score
+                near = np.flatnonzero(score[n] >= least[book])
+                picked = rows.take(pa.array(near))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(near), asked.field("qid")[n].as_py(), np.int64)), picked.field("novel"), picked.field("chunk_id"), pa.array(score[n][near])],
+                    names=["qid", "novel", "chunk_id", "score"],
+                )
 
 
-def exact(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(qid, novel, chunk_id, score, rank): a stated query set against all chunks, block by block."""
+def _scored(queries: DataFrame, chunks: DataFrame, k: int, block: int, per_book: bool) -> DataFrame:
+    """A stated query set against all chunks, block by block."""
     asked = _blocks(queries.select("qid", "vec"), ["qid"], "vec", 1_024).select(F.col("rows").alias("asked"))
     rows = _blocks(chunks.select("novel", "chunk_id", "embedding"), ["novel", "chunk_id"], "embedding", block)
-    found = rows.join(asked, F.lit(True)).mapInArrow(lambda it: _top(it, k), "qid long, novel string, chunk_id int, score double")
+    schema = "qid long, novel string, chunk_id int, score double"
+    return rows.join(asked, F.lit(True)).mapInArrow(lambda it: _top(it, k, per_book), schema)
+
+
+def exact(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(qid, novel, chunk_id, score, rank): the ``k`` nearest chunks of each query."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "novel", "chunk_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _scored(queries, chunks, k, block, False).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def per_book(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(qid, novel, chunk_id, score): the ``k`` nearest chunks of every book for each query."""
+    best = Window.partitionBy("qid", "novel").orderBy(F.desc("score"), "chunk_id")
+    return _scored(queries, chunks, k, block, True).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

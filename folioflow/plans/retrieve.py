@@ -101,12 +101,7 @@ def cosine_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S.CHUNKS}, {ASKED}, {_DENSE} SELECT qid, novel, chunk_id, score FROM dn QUALIFY row_number() OVER (PARTITION BY qid, novel ORDER BY score DESC, chunk_id) <= 2")
 def cosine_per_book_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two nearest chunks of every book."""
-    q, c = with_vector(asked(spark, sf_dir)).select("qid", "vec"), vectors(spark, sf_dir)
-    packed = q.groupBy().agg(F.collect_list(F.struct("qid", "vec")).alias("qs"))  # the stated question set
-    scored = c.join(packed, F.lit(True)).select("novel", "chunk_id", "embedding", F.explode("qs").alias("q"))
-    scored = scored.select("q.qid", "novel", "chunk_id", F.round(T.cosine(F.col("q.vec"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("qid", "novel").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
+    return D.per_book(with_vector(asked(spark, sf_dir)), vectors(spark, sf_dir), 2)
 
 
 _TAIL = f"""an AS (SELECT novel, max(chunk_id) AS anchor FROM c WHERE {S.any_of('text', words.ENDING_MARKERS[:4])} GROUP BY novel),
