@@ -27,9 +27,10 @@ def shelf(spark):
     return spark.createDataFrame(rows, "novel string, chunk_id int, chapter_title string, text string").cache()
 
 
-def test_bm25_against_brute_force(spark, shelf):
+@pytest.mark.parametrize("most_asked", [0, 1000])
+def test_bm25_against_brute_force(spark, shelf, most_asked):
     asked = spark.createDataFrame([("q1", "山谷灯火"), ("q2", "不存在词"), ("q3", "")], "qid string, question string")
-    got = {(r["qid"], r["novel"], r["chunk_id"]): r["score"] for r in L.bm25(shelf, asked, 20).collect()}
+    got = {(r["qid"], r["novel"], r["chunk_id"]): r["score"] for r in L.bm25(shelf, asked, 20, most_asked=most_asked).collect()}
     docs = {(r["novel"], r["chunk_id"]): r["ts"] for r in shelf.select("novel", "chunk_id", L.T.terms(F.col("text")).alias("ts")).collect()}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
     want = {}
