@@ -8,7 +8,7 @@ FULL_TEXT_MAX_CHARS = 8_000
 CONTEXT_NEIGHBORS, CHAPTER_MAX_TOKENS = 1, 3_000
 SUMMARY_MAX_CHARS, UNTITLED_CHUNKS, HIERARCHY_TOP_K = 800, 12, 6
 SCORE_GAP_LOW, TERM_COVERAGE_MIN = 0.05, 0.5
-RELATION_CHUNKS, RELATION_LEAST, RELATION_TOP = 80, 2, 8
+RELATION_LEAST, RELATION_TOP = 2, 8
 TRACE_LIMIT = 10
 HISTORY_TURNS, HISTORY_CHARS = 8, 200
 EMBEDDING_WIDTH = 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.config import RELATION_CHUNKS, RELATION_LEAST, RELATION_TOP
+from folioflow.config import RELATION_LEAST, RELATION_TOP
 from folioflow.functions import text as T
 from folioflow.functions import words
 
@@ -23,15 +23,13 @@ def speakers(chunks: DataFrame, least_share: int = 50, most: int = 20) -> DataFr
     return kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("novel", "name", "n")
 
 
-def relation_chunks(chunks: DataFrame, most: int = RELATION_CHUNKS) -> DataFrame:
-    """(novel, chunk_id, relation, text): chunks with a trigger of the relation, taken by a stride
-    where a book has more than ``most``; books with fewer than two are left out."""
+def relation_chunks(chunks: DataFrame) -> DataFrame:
+    """(novel, chunk_id, relation, text): every chunk with a trigger of the relation; books with
+    fewer than two are left out."""
     kinds = F.array(*[F.struct(F.lit(k).alias("relation"), T.contains_any(F.col("text"), v).alias("hit")) for k, v in words.RELATION_TRIGGERS.items()])
     hits = chunks.select("novel", "chunk_id", "text", F.explode(F.filter(kinds, lambda k: k["hit"])).alias("k")).select("novel", "chunk_id", "text", "k.relation")
-    w = Window.partitionBy("novel", "relation")
-    placed = hits.withColumn("n", F.count("*").over(w)).withColumn("p", F.row_number().over(w.orderBy("chunk_id")) - 1)
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / most))
-    return placed.where((F.col("n") >= 2) & (F.col("p") % stride == 0) & (F.col("p") / stride < most)).select("novel", "chunk_id", "relation", "text")
+    several = hits.groupBy("novel", "relation").agg(F.count("*").alias("n")).where("n >= 2")
+    return hits.join(several, ["novel", "relation"], "left_semi").select("novel", "chunk_id", "relation", "text")
 
 
 def edges(chunks: DataFrame) -> DataFrame:

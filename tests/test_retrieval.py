@@ -107,6 +107,12 @@ def test_edges(spark):
     assert [(r["person_a"], r["person_b"], r["relation"], r["weight"]) for r in row] == [("南宫", "韩立", "师徒", 3)]
 
 
+def test_edges_count_every_chunk_of_a_book(spark):
+    text = "师父来了。\n韩立笑道：走。\n南宫问道：哪里？"
+    chunks = spark.createDataFrame([("A", i, text) for i in range(200)] + [("B", 0, text)], "novel string, chunk_id int, text string")
+    assert [(r["novel"], r["weight"]) for r in G.edges(chunks).collect()] == [("A", 200)]
+
+
 def test_change_plan(spark):
     m = spark.createDataFrame([("same", "p", 2), ("grown", "p", 2), ("gone", "p", 1), ("other", "x", 3)], "novel string, pipeline_hash string, chunk_count int")
     c = spark.createDataFrame([("same", 2), ("grown", 3), ("new", 1), ("other", 3)], "novel string, chunk_count long")
