@@ -4,11 +4,13 @@ An item (a row's text, or a file) is cut into ranges of fixed length. Workers fi
 boundaries of their own range, reading a halo on both sides so that none is missed at an edge.
 The boundary tables of neighbouring ranges are stitched, each range's chain of cuts is derived
 from them alone, piece counts are summed up to here to number the pieces, and pieces are emitted
-by offset from the range they start in. No step holds a whole item of many ranges.
+by offset from the range they start in. No step holds a whole file (``split_files``). A row's text
+is one value: each of its ranges is taken from the whole value, the later steps see ranges only.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.storage import written
 
-LIMIT, OVERLAP, RANGE = 500, 80, 16_384
+LIMIT, OVERLAP, RANGE, FILE_RANGE = 500, 80, 16_384, 4_194_304
 HALO = 1_200  # more than a piece, its overlap and a heading line
 
 #: How strong a pause is (fixed values).
@@ -118,16 +120,21 @@ def _detect(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], size: int, limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
+def _own_ends(found: DataFrame, size: int) -> DataFrame:
+    """Adds the ends [low, high) of every range of ``size``."""
+    low = F.col("range_no") * size
+    return found.withColumn("low", low).withColumn("high", F.least(low + size, "length"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         starts, ends = [], []
         for r in batch.to_pylist():
             places = np.array((r["before"] or []) + r["places"] + (r["after"] or []), np.int64)
             strength = np.array((r["before_s"] or []) + r["strengths"] + (r["after_s"] or []), np.int64)
-            at = r["range_no"] * size
-            start = block_start(places, strength, at, limit)
-            end = r["length"] if at + size >= r["length"] else min(block_start(places, strength, at + size, limit), r["length"])
-            cut = chain(places, strength, start, end, limit, overlap, at == 0) if start < end else []
+            start = block_start(places, strength, r["low"], limit)
+            end = r["length"] if r["high"] >= r["length"] else min(block_start(places, strength, r["high"], limit), r["length"])
+            cut = chain(places, strength, start, end, limit, overlap, r["low"] == 0) if start < end else []
             starts.append([a for a, _ in cut])
             ends.append([b for _, b in cut])
         yield batch.select(["item", "range_no", "length"]).append_column("starts", pa.array(starts, pa.list_(pa.int64()))).append_column(
@@ -135,32 +142,36 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int, limit: int, overlap: int)
         )
 
 
-def cut_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
-    """(item, length, range_no, piece_no, start, end) from ``ranges(item, range_no, length, base, slice)``."""
-    found = written(
-        ranges.mapInArrow(lambda it: _detect(it, size), "item long, range_no long, length long, places array<long>, strengths array<int>"),
-        "p3-boundaries",
-    )
-    edge = F.col("edge")
-    several = found.where(F.col("length") > size).withColumn("edge", F.col("range_no") * size)
+def cut_boundaries(found: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """(item, length, range_no, base_no, starts, ends): the pieces that begin in each range, the first
+    of them numbered ``base_no``, from ``found(item, range_no, length, low, high, places, strengths)``."""
+    several = found.where("low > 0 OR high < length")
+    near = F.size(F.filter("places", lambda p: p < F.col("low") + limit))
     head = several.select(
         "item", (F.col("range_no") - 1).alias("range_no"),
-        F.filter("places", lambda p: p < edge + limit).alias("after"),
-        F.slice("strengths", F.lit(1), F.greatest(F.lit(0), F.size(F.filter("places", lambda p: p < edge + limit)))).alias("after_s"),
+        F.slice("places", F.lit(1), near).alias("after"), F.slice("strengths", F.lit(1), near).alias("after_s"),
     )
-    late = F.size(F.filter("places", lambda p: p >= edge + size - limit))
+    late = F.size(F.filter("places", lambda p: p >= F.col("high") - limit))
     tail = several.select(
         "item", (F.col("range_no") + 1).alias("range_no"),
-        F.filter("places", lambda p: p >= edge + size - limit).alias("before"),
+        F.slice("places", F.size("places") - late + 1, late).alias("before"),
         F.slice("strengths", F.size("strengths") - late + 1, late).alias("before_s"),
     )
     stitched = found.join(head, ["item", "range_no"], "left").join(tail, ["item", "range_no"], "left")
     cut = stitched.mapInArrow(
-        lambda it: _cut(it, size, limit, overlap), "item long, range_no long, length long, starts array<long>, ends array<long>"
+        lambda it: _cut(it, limit, overlap), "item long, range_no long, length long, starts array<long>, ends array<long>"
     )
     to_here = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cut.withColumn("base_no", F.coalesce(F.sum(F.size("starts")).over(to_here), F.lit(0)))
-    return numbered.select(
+    return cut.withColumn("base_no", F.coalesce(F.sum(F.size("starts")).over(to_here), F.lit(0)))
+
+
+def cut_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
+    """(item, length, range_no, piece_no, start, end) from ``ranges(item, range_no, length, base, slice)``."""
+    found = written(
+        ranges.mapInArrow(lambda it: _detect(it, size), "item long, range_no long, length long, places array<long>, strengths array<int>"),
+        "p3-boundaries",
+    )
+    return cut_boundaries(_own_ends(found, size), limit, overlap).select(
         "item", "length", "range_no", "base_no", F.posexplode(F.arrays_zip("starts", "ends")).alias("k", "p")
     ).select(
         "item", "length", "range_no", (F.col("base_no") + F.col("k")).cast("int").alias("piece_no"),
@@ -229,33 +240,128 @@ def _first_heading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.append_column("heading", pa.array(found, pa.string()))
 
 
+def _read(path: str, start: int, end: int) -> tuple[int, bytes]:
+    """The bytes [start, end) of a file without the rest of a character before them, and their start."""
+    start = max(0, start)
+    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+        f.seek(start)
+        data = f.read(end - start)
+    skip = next((i for i, b in enumerate(data[:4]) if b & 0xC0 != 0x80), 0) if start else 0
+    return start + skip, data[skip:]
+
+
+def _characters(data: bytes) -> int:
+    """Characters that begin in ``data``: all but UTF-8's continuation bytes."""
+    return int(np.count_nonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80))
+
+
 def _file_ranges(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Reads only the bytes of each range and its halo; lengths and offsets here are bytes."""
+    """Reads only the bytes of each range and its halo; lengths and offsets here are bytes, except
+    ``chars``, the characters that begin in the range, and ``char_places``, counted from its first."""
     for batch in batches:
         for r in batch.to_pylist():
-            base = max(0, r["range_no"] * size - HALO * 4)
-            with open(r["path"].removeprefix("file://").removeprefix("file:"), "rb") as f:
-                f.seek(base)
-                data = f.read(r["range_no"] * size + size + HALO * 4 - base)
-            while data and base and (data[0] & 0xC0) == 0x80:  # not in the middle of a character
-                data, base = data[1:], base + 1
+            low, high = r["range_no"] * size, (r["range_no"] + 1) * size
+            base, data = _read(r["path"], low - HALO * 4, high + HALO * 4)
             text = data.decode("utf-8", "ignore")
+            before = _characters(data[: max(0, low - base)])
             places, at, offset = [], 0, base
             for p, s in pauses(text):
                 offset += len(text[at:p].encode("utf-8"))
                 at = p
-                if r["range_no"] * size <= offset < (r["range_no"] + 1) * size:
-                    places.append((offset, s))
+                if low <= offset < high:
+                    places.append((offset, s, p - before))
             yield pa.RecordBatch.from_pylist(
-                [{"item": r["item"], "range_no": r["range_no"], "length": r["length"], "places": [p for p, _ in places], "strengths": [s for _, s in places]}],
-                schema=pa.schema([("item", pa.int64()), ("range_no", pa.int64()), ("length", pa.int64()), ("places", pa.list_(pa.int64())), ("strengths", pa.list_(pa.int32()))]),
-            )
-
-
-def file_boundaries(spark: SparkSession, files: DataFrame, size: int = 4_194_304) -> DataFrame:
-    """Boundary tables (item, range_no, length, places, strengths) of UTF-8 ``files(item, path,
-    length)`` on storage that all workers can open; offsets are bytes. Only ranges are read."""
+                [{
+                    "item": r["item"], "range_no": r["range_no"], "length": r["length"], "places": [p for p, _, _ in places],
+                    "strengths": [s for _, s, _ in places], "chars": _characters(data[max(0, low - base) : high - base]), "char_places": [c for _, _, c in places],
+                }],
+                schema=pa.schema([
+                    ("item", pa.int64()), ("range_no", pa.int64()), ("length", pa.int64()), ("places", pa.list_(pa.int64())),
+                    ("strengths", pa.list_(pa.int32())), ("chars", pa.int64()), ("char_places", pa.list_(pa.int64())),
+                ]),
+            )
+
+
+def file_boundaries(spark: SparkSession, files: DataFrame, size: int = FILE_RANGE) -> DataFrame:
+    """Boundary tables (item, range_no, length, places, strengths, chars, char_places) of UTF-8
+    ``files(item, path, length)`` on storage that all workers can open; offsets are bytes, but for
+    the last column, which counts characters from the range's first. Only ranges are read."""
     ranges = files.where("length > 0").withColumn("range_no", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")))
     return ranges.repartition(spark.sparkContext.defaultParallelism * 4, "item", "range_no").mapInArrow(
-        lambda it: _file_ranges(it, size), "item long, range_no long, length long, places array<long>, strengths array<int>"
+        lambda it: _file_ranges(it, size),
+        "item long, range_no long, length long, places array<long>, strengths array<int>, chars long, char_places array<long>",
+    )
+
+
+def _file_pieces(batches: Iterator[pa.RecordBatch], size: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The texts of the pieces that begin in each range, read from there."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            if not r["starts"]:
+                continue
+            low, high = r["range_no"] * size, (r["range_no"] + 1) * size
+            base, data = _read(r["path"], low - 8 * limit, high + 8 * limit)
+            first = r["low"] - _characters(data[: max(0, low - base)])
+            # strict: what is no UTF-8 must not shift or lose characters
+            text = codecs.getincrementaldecoder("utf-8")("strict").decode(data, base + len(data) >= r["bytes"])
+            cut = [text[a - first : b - first] for a, b in zip(r["starts"], r["ends"], strict=True)]
+            for lo in range(0, len(cut), 1_000):
+                own = cut[lo : lo + 1_000]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r["item"]] * n, pa.int64()), pa.array([r["range_no"]] * n, pa.int64()),
+                        pa.array(range(r["base_no"] + lo, r["base_no"] + lo + n), pa.int64()), pa.array(r["starts"][lo : lo + n], pa.int64()),
+                        pa.array(r["ends"][lo : lo + n], pa.int64()), pa.array(own, pa.string()),
+                    ],
+                    names=["item", "range_no", "piece_no", "start", "end", "text"],
+                )
+
+
+def split_files(
+    spark: SparkSession, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = FILE_RANGE
+) -> DataFrame:
+    """(id, piece_no, n_pieces, start, end, chapter_title, text): the pieces of the UTF-8
+    ``files(item, path, length)``, lengths in bytes, on storage that all workers can open.
+
+    As for rows: files of more than ``limit`` code points are cut; ``start``, ``end`` and ``limit``
+    count code points; ``chapter_title`` is NULL before the first heading. Ranges are of ``size``
+    bytes; a file that is not UTF-8 is an error. The item must be unique.
+    """
+    if not limit > 2 * overlap >= 0:
+        raise ValueError("limit must exceed twice the overlap")
+    if size < 8 * limit:
+        raise ValueError("a range must hold at least two pieces")
+    files = files.select(F.col("item").cast("long").alias("item"), "path", F.col("length").cast("long").alias("length"))
+    found = written(file_boundaries(spark, files, size), "p3-file-boundaries")
+    to_here = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.coalesce(F.sum("chars").over(to_here), F.lit(0)).cast("long")
+    sizes = found.groupBy("item").agg(F.sum("chars").alias("length"))
+    placed = found.select("item", "range_no", "strengths", "chars", "char_places", low.alias("low")).join(sizes.where(F.col("length") > limit), "item")
+    placed = placed.select(
+        "item", "range_no", "length", "low", (F.col("low") + F.col("chars")).alias("high"),
+        F.transform("char_places", lambda p: p + F.col("low")).alias("places"), "strengths",
+    )
+    cut = written(cut_boundaries(placed, limit, overlap), "p3-file-cuts")
+    work = (
+        cut.join(placed.select("item", "range_no", "low"), ["item", "range_no"])
+        .join(files.select("item", "path", F.col("length").alias("bytes")), "item")
+        .repartition(spark.sparkContext.defaultParallelism * 4, "item", "range_no")
+    )
+    made = written(
+        work.mapInArrow(lambda it: _file_pieces(it, size, limit), "item long, range_no long, piece_no long, start long, end long, text string").mapInArrow(
+            _first_heading, "item long, range_no long, piece_no long, start long, end long, text string, heading string"
+        ),
+        "p3-file-pieces",
+    )
+    # the last heading that began before a range, from one row a range
+    last = made.groupBy("item", "range_no").agg(F.max_by("heading", F.when(F.col("heading").isNotNull(), F.col("piece_no"))).alias("last"))
+    carried = last.select("item", "range_no", F.last("last", True).over(to_here).alias("carried"))
+    inside = Window.partitionBy("item", "range_no").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut.groupBy("item").agg(F.sum(F.size("starts")).alias("n_pieces"))
+    return (
+        made.withColumn("own", F.last("heading", True).over(inside))
+        .join(carried, ["item", "range_no"])
+        .join(counted, "item")
+        .select(F.col("item").alias("id"), "piece_no", "n_pieces", "start", "end", F.coalesce("own", "carried").alias("chapter_title"), "text")
     )

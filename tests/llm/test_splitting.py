@@ -68,3 +68,34 @@ def test_file_ranges_find_what_one_pass_finds(spark, tmp_path):
     got = [(p, k) for r in tables for p, k in zip(r["places"], r["strengths"], strict=True)]
     want = [(len(text[:p].encode()), k) for p, k in s.pauses(text)]
     assert got == want
+
+
+@pytest.mark.parametrize("size", [4_000, 20_000, 4_194_304])
+def test_files_are_cut_like_texts(spark, tmp_path, size):
+    rng = random.Random(11)
+    texts = [story(rng, 60_000), "字" * 500, "无" * 9_000, "🙂a" * 5_000, "第一章 山\n" + story(rng, 30_000).replace("\n第", "\n"), ""]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    files = spark.createDataFrame([(i, str(tmp_path / f"{i}.txt"), len(t.encode())) for i, t in enumerate(texts)], "item long, path string, length long")
+    out: dict[int, list] = {}
+    for r in s.split_files(spark, files, size=size).collect():
+        out.setdefault(r["id"], []).append(r)
+    assert set(out) == {0, 2, 3, 4}
+    for i, pieces in out.items():
+        pieces.sort(key=lambda r: r["piece_no"])
+        check_pieces(texts[i], pieces, s.LIMIT, s.OVERLAP)
+        own = s.headings(texts[i])
+        for p, before in zip(pieces, [0, *[p["end"] for p in pieces]]):
+            told = [h for at, h in own if at <= before]
+            assert p["chapter_title"] == (told[-1] if told else None)
+    if size > 10**6:  # one range: the very pieces of the same text as a row
+        rows = s.split_rows(spark.createDataFrame([(0, texts[0], None, 1, "", 0)], SCHEMA), size=10**6).orderBy("piece_no").collect()
+        assert [(r["start"], r["end"], r["text"]) for r in rows] == [(r["start"], r["end"], r["text"]) for r in out[0]]
+
+
+def test_a_file_that_is_not_utf8_is_an_error(spark, tmp_path):
+    path = tmp_path / "other.txt"
+    path.write_bytes(("字。" * 2_000).encode("gb18030"))
+    files = spark.createDataFrame([(1, str(path), path.stat().st_size)], "item long, path string, length long")
+    with pytest.raises(Exception, match="UnicodeDecodeError"):
+        s.split_files(spark, files).collect()
