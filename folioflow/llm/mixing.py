@@ -5,6 +5,9 @@ gets slots 0..n-1; slot k's golden-ratio point, mapped through the cumulative we
 source; the r-th slot of a source takes the r-th block of that source, going round the blocks
 again up to ``max_repeats`` times. The scarcest source ends the mixture, so every source that has
 documents reaches its share.
+
+Sums and numbers along a source, a recipe or its slots are made over buckets first and then within
+each, so no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.prefix import running
 from folioflow.llm.storage import written
 
-GOLDEN, BLOCK_TOKENS, BUCKET_ROWS, MOST_SLOTS, SPARE = 0.6180339887498949, 512, 5_000, 500_000, 16
+GOLDEN, BLOCK_TOKENS, BUCKET_ROWS, SPARE = 0.6180339887498949, 512, 20_000, 16
 
 
 def source_name(source: F.Column) -> F.Column:
@@ -25,23 +29,14 @@ def source_name(source: F.Column) -> F.Column:
 
 def _offsets(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """``docs(source, doc_id, tokens)`` with ``before``: tokens before each in the source's
-    shuffled order. Sums go over hashed buckets of bounded size, then within each."""
-    wide = docs.withColumn("h", F.xxhash64("doc_id", F.lit("mix")))
+    shuffled order."""
     n = docs.groupBy("source").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("buckets"))
-    wide = wide.join(n, "source").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
-    sums = wide.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    to_here = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(to_here), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        wide.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-        .join(base, ["source", "bucket"])
-        .select("source", "doc_id", "tokens", (F.col("base") + F.col("inside")).alias("before"))
-    )
+    wide = docs.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).join(n, "source").withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
+    return running(wide, ["source"], "bucket", ["h", "doc_id"], F.col("tokens"), "before").select("source", "doc_id", "tokens", "before")
 
 
 def mix(
-    sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_rows: int = BUCKET_ROWS, most_slots: int = MOST_SLOTS
+    sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_rows: int = BUCKET_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """``(mixture, shares)`` for ``sizes(doc_id, source, tokens)`` and
     ``targets(recipe, source, target_weight, max_repeats)``.
@@ -53,8 +48,7 @@ def mix(
     keep their proportions. Documents with a NULL id, NULL or blank source or no token, and
     targets with a NULL or non-positive weight or cap, take no part; targets named twice add up
     their weights and keep the lower cap. Repeated rows are documents of their own. Empty tables
-    give empty results. Blocks grow beyond ``block_tokens`` where a recipe would have over
-    ``most_slots`` slots.
+    give empty results. Blocks have about ``block_tokens`` tokens at any size of the input.
     """
     wanted = (
         targets.select("recipe", source_name(F.col("source")).alias("source"), "target_weight", "max_repeats")
@@ -72,28 +66,20 @@ def mix(
     known = written(wanted.join(have, "source"), "p7-known")
     by_recipe = Window.partitionBy("recipe")
     planned = known.withColumn("size", F.min(F.col("have") * F.col("cap") / F.col("weight")).over(by_recipe))
-    # blocks are a property of the source, so that all recipes share them
-    block = planned.groupBy("source").agg(
-        F.max(F.greatest(F.lit(float(block_tokens)), F.col("size") * F.col("weight") / most_slots)).alias("block")
-    )
     blocks = written(
         _offsets(docs, bucket_rows)
-        .join(have.join(block, "source").select("source", F.greatest(F.lit(1.0), F.round(F.col("have") / F.col("block"))).alias("n"), "have"), "source")
+        .join(have.select("source", F.greatest(F.lit(1.0), F.round(F.col("have") / block_tokens)).alias("n"), "have"), "source")
         # the middle of a document says in which block it is
         .withColumn("block", F.least(F.col("n") - 1, F.floor((F.col("before") + F.col("tokens") / 2) * F.col("n") / F.col("have"))).cast("long"))
         .select("source", "block", "doc_id", "tokens"),
         "p7-blocks",
     )
-    filled = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
-    in_source = Window.partitionBy("source").orderBy("block")
+    filled = blocks.groupBy("source", "block").agg(F.sum("tokens").alias("t")).withColumn("bucket", F.floor(F.col("block") / bucket_rows))
     # blocks that no document fell into are skipped
-    numbered = written(
-        filled.select(
-            "source", "block", (F.row_number().over(in_source) - 1).alias("no"),
-            (F.sum("t").over(in_source) - F.col("t") / 2).alias("middle"), F.count("*").over(Window.partitionBy("source")).alias("n"),
-        ),
-        "p7-numbered",
-    )
+    filled = running(filled, ["source"], "bucket", ["block"], F.lit(1), "no")
+    filled = running(filled, ["source"], "bucket", ["block"], F.col("t"), "before")
+    count = filled.groupBy("source").agg(F.count("*").alias("n"))
+    numbered = written(filled.join(count, "source").select("source", "block", "no", (F.col("before") + F.col("t") / 2).alias("middle"), "n"), "p7-numbered")
     # how many blocks come nearest to the source's share: whole rounds, then part of one
     need = planned.withColumn("need", F.col("size") * F.col("weight")).withColumn(
         "rounds", F.least(F.col("cap"), F.floor(F.col("need") / F.col("have") + 1e-9))
@@ -110,11 +96,15 @@ def mix(
         ((F.sum("take").over(order) - F.col("take")) / total).alias("low"),
         (F.sum("take").over(order) / total).alias("high"),
     )
-    plan = written(plan, "p7-plan")  # a row a target
-    numbers = plan.select("recipe", "slots").distinct().withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)")))
+    plan = written(plan, "p7-plan")  # a row a target, as targets are a list of weights and not data
+    # ranges of slots first, so that the slots of a recipe are made in many tasks
+    ranges = plan.select("recipe", "slots").distinct().withColumn("bucket", F.explode(F.expr(f"sequence(0L, (slots - 1) div {bucket_rows})")))
+    numbers = ranges.repartition("recipe", "bucket").withColumn(
+        "slot", F.explode(F.expr(f"sequence(bucket * {bucket_rows}, least(slots, (bucket + 1) * {bucket_rows}) - 1)"))
+    )
     point = F.col("slot") * F.lit(GOLDEN) % 1.0
     slots = numbers.withColumn("u", point).join(F.broadcast(plan.drop("slots")), ["recipe"]).where("u >= low AND u < high")
-    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("recipe", "source").orderBy("slot")) - 1)
+    ranked = running(slots, ["recipe", "source"], "bucket", ["slot"], F.lit(1), "r")
     ranked = ranked.where(F.col("r") < F.col("take")).select(
         "recipe", "source", "slot", (F.col("r") % F.col("n")).alias("no"), (F.floor(F.col("r") / F.col("n")) + 1).cast("int").alias("use_no")
     )
@@ -138,3 +128,17 @@ def mix(
         )
     )
     return mixture, shares
+
+
+def violations(mixture: DataFrame, targets: DataFrame) -> DataFrame:
+    """(recipe, source, overused): documents that are used more often than ``max_repeats`` allows, for
+    every source that is named in ``targets``; a use is told by its ``use_no``."""
+    cap = (
+        targets.select("recipe", source_name(F.col("source")).alias("source"), "max_repeats")
+        .where("recipe IS NOT NULL AND source IS NOT NULL")
+        .groupBy("recipe", "source")
+        .agg(F.min("max_repeats").alias("cap"))
+    )
+    uses = mixture.groupBy("recipe", "source", "doc_id").agg(F.count("*").alias("n"))
+    over = uses.join(cap, ["recipe", "source"]).groupBy("recipe", "source").agg(F.count_if(F.col("n") > F.col("cap")).alias("overused"))
+    return cap.join(over, ["recipe", "source"], "left").select("recipe", "source", F.coalesce("overused", F.lit(0)).alias("overused"))

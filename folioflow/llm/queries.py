@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from folioflow.llm import garbled_text as garbled
 from folioflow.llm import mixing, packing, sentences, splitting, tokens
 from folioflow.llm import near_duplicates as nd
 from folioflow.llm import similar_vectors as sv
+from folioflow.llm.storage import written
 from folioflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,9 +160,17 @@ def p4_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.session_facts(table(spark, sf_dir, "chat_turns"))
 
 
+#: A vocabulary file of a public tokenizer, on every worker.
+VOCABULARY = os.environ.get("FOLIOFLOW_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.sized(table(spark, sf_dir, "documents"), VOCABULARY, keep=("source",))
+
+
 @query()
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tokens.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
 @query()
@@ -168,9 +178,15 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir))
 
 
+@query("SELECT spec, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS doubled FROM pack_specs")
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(_sizes(spark, sf_dir), "p6-audit")
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.violations(packing.pack(sizes, specs), sizes, specs)
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = tokens.sized(table(spark, sf_dir, "documents"), keep=("source",))
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 @query()
@@ -183,6 +199,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+@query("SELECT DISTINCT recipe, lower(trim(source)) AS source, 0::BIGINT AS overused FROM mix_targets WHERE trim(source) <> ''")
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.violations(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 @query()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))

@@ -9,9 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The folder of vocabulary files is a parameter; they are never copied.
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-
 
 @lru_cache(maxsize=2)
 def _model(path: str):
@@ -20,7 +17,7 @@ def _model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def count_tokens(texts: list[str], path: str = VOCABULARY) -> list[int]:
+def count_tokens(texts: list[str], path: str) -> list[int]:
     return [len(x) for x in _model(path).encode(texts, num_threads=1)] if texts else []
 
 
@@ -34,8 +31,9 @@ def _sized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         yield batch.select(keep).append_column("tokens", pa.array(sizes, pa.int64()))
 
 
-def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, *keep, tokens): documents with an id and at least one token."""
+def sized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, tokens): documents with an id and at least one token of the vocabulary file at
+    ``path``, which every worker must have; it is never copied."""
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text")
     ).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from folioflow.llm import mixing, packing, tokens
+from folioflow.llm.queries import VOCABULARY
 
 
 def brute_best_fit(sizes, capacity):
@@ -61,10 +62,40 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), specs).count() == 0 and packing.pack(df, specs.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_many_specs(spark):
+    df = spark.createDataFrame([(1, 250), (1, 250), (1, 250), (2, 100), (3, 7)], "doc_id long, tokens long")
+    specs = spark.createDataFrame([(f"s{i}", 100 + i) for i in range(7)] + [("s0", 900), (None, 100)], "spec string, capacity_tokens int")
+    rows = packing.pack(df, specs, spec_block=3).collect()
+    fill: dict[tuple, int] = {}
+    for r in rows:
+        fill[r["spec"], r["container"]] = fill.get((r["spec"], r["container"]), 0) + r["tokens"]
+    assert {s for s, _ in fill} == {f"s{i}" for i in range(7)}
+    assert all(n <= 100 + int(s[1:]) for (s, _), n in fill.items())
+    assert all(sum(n for (s, _), n in fill.items() if s == f"s{i}") == 857 for i in range(7))
+    told = packing.violations(packing.pack(df, specs.where("spec = 's1'")), df, specs.where("spec = 's1'")).collect()
+    assert [(r["overfull"], r["lost"], r["doubled"]) for r in told] == [(0, 0, 0)]
+
+
+def test_wide_capacity():
+    sizes = np.array([3_000_000, 2_999_999, 1, 1])
+    place, n = packing.best_fit_decreasing(sizes, 3_000_001)
+    assert n == 2 and np.bincount(place, weights=sizes).max() == 3_000_001
+
+
+def test_numbers_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.llm.prefix import running
+
+    df = spark.range(500).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 37).alias("b"), "id")
+    got = running(df, ["k"], "b", ["id"], F.col("id"), "before").collect()
+    assert len(got) == 500 and all(r["before"] == sum(range(r["k"], r["id"], 2)) for r in got)
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (None, "x"), (4, "字" * 5000)], "doc_id long, text string")
-    got = {r["doc_id"]: r["tokens"] for r in tokens.sized(df).collect()}
-    assert set(got) == {1, 4} and got[1] == tokens.count_tokens(["hello world"])[0]
+    got = {r["doc_id"]: r["tokens"] for r in tokens.sized(df, VOCABULARY).collect()}
+    assert set(got) == {1, 4} and got[1] == tokens.count_tokens(["hello world"], VOCABULARY)[0]
 
 
 def test_mix(spark):
@@ -76,7 +107,7 @@ def test_mix(spark):
         [("r", "big", 5.0, 1), ("r", "mid", 3.0, 2), ("r", "small", 2.0, 4), ("r", "absent", 1.0, 2), ("q", "small", 1.0, 3), ("q", "nil", None, 1), ("q", "zero", 0.0, 1)],
         "recipe string, source string, target_weight double, max_repeats int",
     )
-    mixture, shares = mixing.mix(docs, targets, block_tokens=2000, bucket_rows=300)
+    mixture, shares = mixing.mix(docs, targets, block_tokens=2000, bucket_rows=30)
     got = {(r["recipe"], r["source"]): r for r in shares.collect()}
     assert set(got) == {("r", "big"), ("r", "mid"), ("r", "small"), ("r", "absent"), ("q", "small")}
     assert got["r", "absent"]["actual_share"] == 0
@@ -89,6 +120,7 @@ def test_mix(spark):
         uses[key].add(r["use_no"])
     caps = {("r", "big"): 1, ("r", "mid"): 2, ("r", "small"): 4, ("q", "small"): 3}
     assert all(len(u) <= caps[k[0], k[1]] for k, u in uses.items())
+    assert {r["overused"] for r in mixing.violations(mixture, targets.where("max_repeats IS NOT NULL")).collect()} == {0}
     # the scarcest source is used up but for a block or two
     small = sum(t for _, s, t in rows if s == "SMALL")
     assert got["q", "small"]["tokens"] > 0.97 * 3 * small
