@@ -10,9 +10,9 @@ the exact cosine in the same task.
 Two searches use this:
 
 * ``neighbours_above``: all rows against all rows, down to a least cosine. A vector is stored in
-  the ``base_cells`` cells its beam likes best (a cell is the code of the first codebook, or of
-  the first two for large tables) and asked for in ``query_cells``. Within a cell the bound above
-  drops only what can't reach the least cosine. Cells over ``cell_rows`` are split into blocks.
+  the ``base_cells`` cells its beam likes best (a cell is a code of the first two codebooks, at every
+  size) and asked for in ``query_cells``. Within a cell the bound above drops only what can't reach
+  the least cosine. Cells over ``cell_rows`` are split into blocks on either side.
 * ``nearest``: a stated query set against every row, in blocks, with ``depth`` rows of every
   block ranked again.
 """
@@ -31,8 +31,9 @@ from folioflow.llm.storage import written
 
 WIDTH, K = 64, 10
 LEVELS, WORDS, BEAM, SAMPLE = 8, 256, 4, 16_384
-QUERY_CELLS, BASE_CELLS, CELL_ROWS, DEEP_FROM = 5, 2, 8_192, 1_000_000
-PACK, QUERY_BLOCK, DEPTH = 8_192, 1_024, 96
+QUERY_CELLS, BASE_CELLS, CELL_DEPTH, CELL_ROWS = 5, 2, 2, 8_192
+PACK, QUERY_BLOCK, DEPTH, NEAR_ROWS = 8_192, 1_024, 96, 200_000
+BUFFER, PAIRS, MATRIX = 20_000, 400_000, 16_384  # rows held, pairs at once, pairs from which a cell is scored as a matrix
 
 
 @dataclass(frozen=True)
@@ -160,32 +161,81 @@ def _bytes(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _search_cell(cell: pa.Table, books: Codebooks, least: float, k: int, width: int) -> pa.Table:
-    kind = cell.column("kind").to_numpy()
-    base, ask = cell.filter(pa.array(kind == 0)), cell.filter(pa.array(kind == 1))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if base.num_rows and ask.num_rows:
-        bid, bx = base.column("id").to_numpy(), _unit(_bytes(base.column("vec"), np.float32, width), np.float64)
-        codes = _bytes(base.column("codes"), np.uint8, len(books.words))
-        rest = base.column("rest").to_numpy()
-        made = books.decode(codes)
-        norm = (made**2).sum(1)
-        reach = (np.sqrt(2 - 2 * least) + rest + 1e-4) ** 2  # by the triangle inequality
-        qid, qx = ask.column("id").to_numpy(), _unit(_bytes(ask.column("vec"), np.float32, width), np.float64)
-        for lo in range(0, len(qid), 512):
-            q = qx[lo : lo + 512]
-            est = books.look_up(books.tables(q.astype(np.float32)), codes)
-            b, a = np.nonzero((1 + norm - reach)[:, None] <= 2 * est)
-            cos = np.einsum("ij,ij->i", bx[b], q[a])
-            keep = (cos >= least) & (bid[b] != qid[lo + a])
-            a, b, cos = a[keep], b[keep], cos[keep]
-            order = np.lexsort((bid[b], -cos, a))
+def _scored_cells(rows: pa.Table, books: Codebooks, least: float, k: int, width: int) -> pa.RecordBatch:
+    """The ``k`` best of each cell's rows for each of its queries, from whole cells in order of
+    (cell, block, part, kind)."""
+    at = [rows.column(c).to_numpy() for c in ("cell", "block", "part")]
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in at], axis=0)]
+    group = np.cumsum(new) - 1
+    kind, ids = rows.column("kind").to_numpy(), rows.column("id").to_numpy()
+    raw = _bytes(rows.column("vec"), np.float32, width)
+    base, ask = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    count = np.bincount(group[base], minlength=group[-1] + 1)
+    first = np.cumsum(count) - count  # of each group's stored rows
+    ask = ask[count[group[ask]] > 0]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(base) and len(ask):
+        bx, qx = _unit(raw[base], np.float64), _unit(raw[ask], np.float64)
+        codes = _bytes(rows.column("codes").filter(pa.array(kind == 0)), np.uint8, len(books.words)).astype(np.int64)
+        norm = (books.decode(codes) ** 2).sum(1)
+        # |q - r| <= |q - x| + |x - r|, so products below this can't reach the least cosine
+        bound = (1 + norm - (np.sqrt(2 - 2 * least) + rows.column("rest").to_numpy()[base] + 1e-4) ** 2) / 2
+        reach = count[group[ask]]
+        asked = np.bincount(group[ask], minlength=len(count))
+        begin = 0
+        while begin < len(ask):
+            g = group[ask[begin]]
+            if asked[g] * count[g] >= MATRIX:  # one cell, all its rows against some of its queries
+                end = min(begin + 512, int(np.searchsorted(group[ask], g, "right")))
+                own = slice(first[g], first[g] + count[g])
+                est = books.look_up(books.tables(qx[begin:end].astype(np.float32)), codes[own])
+                b, a = np.nonzero(est >= bound[own][:, None])
+                a, b = a + begin, b + first[g]
+            else:  # many small cells
+                small = asked[group[ask[begin : begin + 512]]] * reach[begin : begin + 512] < MATRIX
+                work = np.cumsum(reach[begin : begin + 512])
+                end = begin + max(1, min(int(np.searchsorted(work, PAIRS, "right")), int(np.argmin(small)) if not small.all() else len(small)))
+                own = reach[begin:end]
+                a = np.repeat(np.arange(begin, end), own)
+                b = np.repeat(first[group[ask[begin:end]]] - np.cumsum(own) + own, own) + np.arange(len(a))
+                tables = books.tables(qx[begin:end].astype(np.float32))
+                est = sum(tables[m][codes[b, m], a - begin] for m in range(len(tables)))
+                near = est >= bound[b]
+                a, b = a[near], b[near]
+            cos = np.einsum("ij,ij->i", bx[b], qx[a])
+            keep = (cos >= least) & (ids[base[b]] != ids[ask[a]])
+            a, b, cos = a[keep], ids[base[b[keep]]], cos[keep]
+            order = np.lexsort((b, -cos, a))
             a, b, cos = a[order], b[order], cos[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b, cos = a[rank < k], b[rank < k], cos[rank < k]
-            out.append((qid[lo + a], bid[b], cos))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table({"id": cols[0].astype(np.int64), "other": cols[1].astype(np.int64), "cosine": cols[2].astype(np.float64)})
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            found.append((ids[ask[a[top]]], b[top], cos[top]))
+            begin = end
+    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["id", "other", "cosine"]
+    )
+
+
+def _search_cells(batches: Iterator[pa.RecordBatch], books: Codebooks, least: float, k: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of cells, cut where a cell ends; no more is held than ``BUFFER`` rows and one cell."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < BUFFER:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        at = [rows.column(c).to_numpy() for c in ("cell", "block", "part")]
+        last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in at], axis=0))
+        if not len(last):
+            continue
+        whole = int(last[-1]) + 1
+        yield _scored_cells(rows.slice(0, whole), books, least, k, width)
+        held = rows.slice(whole).to_batches()
+        n = rows.num_rows - whole
+    if n:
+        yield _scored_cells(pa.Table.from_batches(held).combine_chunks(), books, least, k, width)
 
 
 def neighbours_above(
@@ -197,8 +247,8 @@ def neighbours_above(
     width: int = WIDTH,
     query_cells: int = QUERY_CELLS,
     base_cells: int = BASE_CELLS,
+    cell_depth: int = CELL_DEPTH,
     cell_rows: int = CELL_ROWS,
-    deep_from: int = DEEP_FROM,
 ) -> DataFrame:
     """(id, other, cosine, rank): of the ``k`` most similar other rows of each row those with a
     cosine of at least ``least``; ties go to the lesser id.
@@ -208,7 +258,8 @@ def neighbours_above(
     gives an empty result; extra columns are ignored; ids are taken to be unique. The index is
     fitted on at most ``SAMPLE`` vectors and holds every row; measured recall is in the README.
     """
-    vectors = usable(df, id_col, vec_col, width).withColumn("class", F.xxhash64("vec"))
+    # two hashes, 96 bits, stand for a vector
+    vectors = usable(df, id_col, vec_col, width).withColumn("class", F.struct(F.xxhash64("vec").alias("x"), F.hash("vec").alias("y")))
     members = vectors.select("id", "class")
     reps = members.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     sample = sampled(vectors)
@@ -216,29 +267,35 @@ def neighbours_above(
     if not len(sample):
         return empty
     books = fit(sample)
-    depth = 2 if df.count() > deep_from else 1
     distinct = vectors.join(reps.where("n > 1"), ["class", "id"], "left_semi").unionByName(
         vectors.join(reps.where("n > 1").select("class"), "class", "left_anti")
     )
     placed = written(
         distinct.select("id", "vec").mapInArrow(
-            lambda it: _placed(it, books, depth, base_cells, query_cells, width),
+            lambda it: _placed(it, books, cell_depth, base_cells, query_cells, width),
             "cell long, kind int, id long, vec binary, codes binary, rest float",
         ),
         "p5-cells",
     )
     # at most 256^depth rows, so of bounded size
-    blocks = placed.where("kind = 0").groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
-    spread = placed.join(F.broadcast(blocks), "cell").withColumn(
-        "block",
-        F.explode(
-            F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(
-                F.sequence(F.lit(0), F.col("blocks") - 1)
-            )
-        ),
+    blocks = placed.groupBy("cell").agg(
+        F.ceil(F.count_if(F.col("kind") == 0) / cell_rows).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("kind") == 1) / cell_rows).cast("int").alias("parts")
     )
-    found = spread.groupBy("cell", "block").applyInArrow(
-        lambda t: _search_cell(t, books, least, k, width), "id long, other long, cosine double"
+    spot = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 0, F.col("blocks")).otherwise(F.col("parts"))).cast("int")
+    every = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("parts")).otherwise(F.col("blocks")) - 1)
+    stored = F.col("kind") == 0
+    spread = (
+        placed.join(F.broadcast(blocks.where("blocks > 0 AND parts > 0")), "cell")
+        .withColumn("spot", spot)
+        .withColumn("copy", F.explode(every))
+        .withColumn("block", F.when(stored, F.col("spot")).otherwise(F.col("copy")))
+        .withColumn("part", F.when(stored, F.col("copy")).otherwise(F.col("spot")))
+        .select("cell", "block", "part", "kind", "id", "vec", "codes", "rest")
+    )
+    found = (
+        spread.repartition("cell", "block", "part")
+        .sortWithinPartitions("cell", "block", "part", "kind")
+        .mapInArrow(lambda it: _search_cells(it, books, least, k, width), "id long, other long, cosine double")
     )
     best = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     return _spread_copies(best, members, reps, k, least)
@@ -268,16 +325,27 @@ def _spread_copies(best: DataFrame, members: DataFrame, reps: DataFrame, k: int,
     return ranked.where((F.col("rank") <= k) & (F.col("cosine") >= least))
 
 
-def _packs(batches: Iterator[pa.RecordBatch], books: Codebooks, size: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows packed into blocks: ids, raw vectors, codes."""
+def _packs(batches: Iterator[pa.RecordBatch], books: Codebooks | None, size: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows packed into blocks: ids, raw vectors, and codes if there are ``books``."""
+    held: list[pa.RecordBatch] = []
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vec"), width)
+        arrays = [ids, x]
+        if books is not None:
+            arrays.append(np.concatenate([books.encode(_unit(x[s : s + 2048]))[0][:, 0] for s in range(0, len(x), 2048)]))
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in arrays], names=["ids", "vecs", "codes"][: len(arrays)])
+
     for batch in batches:
-        ids, raw = batch.column("id").to_numpy(), _matrix(batch.column("vec"), width)
-        for lo in range(0, len(ids), size):
-            i, x = ids[lo : lo + size], raw[lo : lo + size]
-            codes = np.concatenate([books.encode(_unit(x[s : s + 2048]))[0][:, 0] for s in range(0, len(x), 2048)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v.tobytes()], pa.binary()) for v in (i, x, codes)], names=["ids", "vecs", "codes"]
-            )
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            whole = rows.num_rows // size * size
+            for lo in range(0, whole, size):
+                yield packed(rows.slice(lo, size).combine_chunks())
+            held = rows.slice(whole).to_batches()
+    if sum(b.num_rows for b in held):
+        yield packed(pa.Table.from_batches(held).combine_chunks())
 
 
 def _score(batches: Iterator[pa.RecordBatch], books: Codebooks, k: int, depth: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -313,11 +381,14 @@ def nearest(
     k: int = K,
     width: int = WIDTH,
     depth: int = DEPTH,
+    near_rows: int = NEAR_ROWS,
 ) -> DataFrame:
     """(id, other, cosine, rank): the ``k`` most similar other rows of each row for which
     ``queries`` (a condition on ``id``) holds, against every row, ties to the lesser id.
 
     The same rows take part as in ``neighbours_above``; fewer than ``k`` others give fewer rows.
+    At most ``near_rows`` queries are broadcast (50 MB at 64 floats). The work is the number of rows
+    times that of queries.
     """
     vectors = usable(df, id_col, vec_col, width)
     sample = sampled(vectors)
@@ -325,16 +396,19 @@ def nearest(
         return df.sparkSession.createDataFrame([], "id long, other long, cosine double, rank int")
     books = fit(sample)
     packs = written(vectors.mapInArrow(lambda it: _packs(it, books, PACK, width), "ids binary, vecs binary, codes binary"), "p5-packs")
+    wanted = vectors.where(queries)
+    number = wanted.count()
+    # as many queries to a partition as to a block
     asked = written(
-        vectors.where(queries).coalesce(1).mapInArrow(lambda it: _packs(it, books, QUERY_BLOCK, width), "ids binary, vecs binary, codes binary").select(
+        wanted.repartition(max(1, number // QUERY_BLOCK)).mapInArrow(lambda it: _packs(it, None, QUERY_BLOCK, width), "ids binary, vecs binary").select(
             F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")
         ),
         "p5-asked",
     )
-    # every block of rows meets every block of the stated queries
+    # every block of rows meets every block of the stated queries; few blocks go where the rows are
     found = (
-        packs.join(asked, F.lit(True))
-        .repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
+        packs.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
+        .join(F.broadcast(asked) if number <= near_rows else asked, F.lit(True))
         .mapInArrow(lambda it: _score(it, books, k, depth, width), "id long, other long, cosine double")
     )
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))

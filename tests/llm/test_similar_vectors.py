@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import similar_vectors as sv
@@ -47,6 +48,33 @@ def test_neighbours_above(spark):
     assert max(counts.values()) == 10 and counts[1495] == 10
 
 
+def test_split_cells_give_the_same(spark):
+    x = data(900, seed=6)
+    x[300:700] = x[300] + np.random.default_rng(1).normal(size=(400, 64)).astype(np.float32) * 1e-4  # hot cells
+    df = frame(spark, x)
+    whole = {(r["id"], r["other"], round(r["cosine"], 9)) for r in sv.neighbours_above(df).collect()}
+    split = {(r["id"], r["other"], round(r["cosine"], 9)) for r in sv.neighbours_above(df, cell_rows=40).collect()}
+    assert whole == split and len(whole) > 1000
+
+
+def test_cells_one_by_one_and_many_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = sv._unit(data(600, seed=8))
+    books = sv.fit(x, levels=4, words=16)
+    batch = next(iter([pa.RecordBatch.from_pydict({"id": np.arange(600), "vec": pa.array([v.tolist() for v in x], pa.list_(pa.float32()))})]))
+    placed = pa.Table.from_batches(list(sv._placed(iter([batch]), books, 1, 2, 3, 64)))
+    placed = placed.append_column("block", pa.array(np.zeros(placed.num_rows, np.int32))).append_column("part", pa.array(np.zeros(placed.num_rows, np.int32)))
+    placed = placed.sort_by([("cell", "ascending"), ("kind", "ascending")])
+
+    def got(matrix, pairs, buffer):
+        monkeypatch.setattr(sv, "MATRIX", matrix), monkeypatch.setattr(sv, "PAIRS", pairs), monkeypatch.setattr(sv, "BUFFER", buffer)
+        out = pa.Table.from_batches(list(sv._search_cells(iter(placed.to_batches(max_chunksize=int(rng.integers(50, 300)))), books, 0.9, 10, 64)))
+        return set(zip(out["id"].to_pylist(), out["other"].to_pylist(), strict=True))
+
+    first = got(0, 100, 10)
+    assert first == got(1 << 40, 50, 100) == got(1 << 40, 10**6, 10**6) == got(2_000, 300, 500) and len(first) > 100
+
+
 def test_nearest_reaches_recall(spark):
     x = data(1200, seed=2)
     got: dict[int, set] = {}
@@ -55,6 +83,8 @@ def test_nearest_reaches_recall(spark):
     want, _ = brute(x[:1180])
     recall = np.mean([len(got[i] & set(want[i])) / 10 for i in range(50, 1180, 50)])
     assert recall >= 0.9 and set(got) == set(range(0, 1200, 50))
+    far = {(r["id"], r["other"]) for r in sv.nearest(frame(spark, x), F.col("id") % 50 == 0, near_rows=0).collect()}
+    assert far == {(i, j) for i, js in got.items() for j in js}
 
 
 def test_beam_search_beats_greedy():
