@@ -5,7 +5,7 @@ boundaries of their own range, reading a halo on both sides so that none is miss
 The boundary tables of neighbouring ranges are stitched, each range's chain of cuts is derived
 from them alone, piece counts are summed up to here to number the pieces, and pieces are emitted
 by offset from the range they start in. No step holds a whole file (``split_files``). A row's text
-is one value: each of its ranges is taken from the whole value, the later steps see ranges only.
+is one value, cut into its ranges in one pass; the later steps see ranges only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,15 +180,33 @@ def cut_ranges(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFr
     )
 
 
+def _ranges_of(batches: Iterator[pa.RecordBatch], size: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of every text in one pass over it, at most about ``most`` code points at once."""
+    names = ["item", "range_no", "length", "base", "slice"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    rows: list[tuple] = []
+    held = 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text"), strict=True):
+            text = text.as_py()
+            for no in range(-(-len(text) // size)):
+                base = max(0, no * size - HALO)
+                rows.append((item, no, len(text), base, text[base : base + size + 2 * HALO]))
+                held += len(rows[-1][4])
+                if held >= most:
+                    yield batch_of()
+                    rows, held = [], 0
+    if rows:
+        yield batch_of()
+
+
 def _row_ranges(rows: DataFrame, size: int) -> DataFrame:
-    """Ranges with halos of ``rows(item, text)``."""
-    wide = rows.withColumn("length", F.char_length("text").cast("long")).withColumn(
-        "range_no", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})"))
-    )
-    base = F.greatest(F.lit(0), F.col("range_no") * size - HALO)
-    return wide.withColumn("base", base).withColumn(
-        "slice", F.substring("text", (F.col("base") + 1).cast("int"), F.lit(size + 2 * HALO))
-    )
+    """(item, range_no, length, base, slice): ranges with halos of ``rows(item, text)``."""
+    return rows.mapInArrow(lambda it: _ranges_of(it, size), "item long, range_no long, length long, base long, slice string")
 
 
 def split_rows(
@@ -243,7 +262,10 @@ def _first_heading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _read(path: str, start: int, end: int) -> tuple[int, bytes]:
     """The bytes [start, end) of a file without the rest of a character before them, and their start."""
     start = max(0, start)
-    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+    scheme, colon, rest = path.partition(":")
+    uri = f"file:///{rest.lstrip('/')}" if scheme == "file" else path
+    system, place = FileSystem.from_uri(uri) if colon else (LocalFileSystem(), path)
+    with system.open_input_file(place) as f:
         f.seek(start)
         data = f.read(end - start)
     skip = next((i for i, b in enumerate(data[:4]) if b & 0xC0 != 0x80), 0) if start else 0

@@ -63,7 +63,7 @@ def test_file_ranges_find_what_one_pass_finds(spark, tmp_path):
     text = story(random.Random(9), 60_000)
     path = tmp_path / "book.txt"
     path.write_bytes(text.encode())
-    files = spark.createDataFrame([(1, str(path), path.stat().st_size)], "item long, path string, length long")
+    files = spark.createDataFrame([(1, f"file:{path}", path.stat().st_size)], "item long, path string, length long")
     tables = s.file_boundaries(spark, files, size=20_000).orderBy("range_no").collect()
     got = [(p, k) for r in tables for p, k in zip(r["places"], r["strengths"], strict=True)]
     want = [(len(text[:p].encode()), k) for p, k in s.pauses(text)]
