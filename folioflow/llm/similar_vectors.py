@@ -33,7 +33,7 @@ WIDTH, K = 64, 10
 LEVELS, WORDS, BEAM, SAMPLE = 8, 256, 4, 16_384
 QUERY_CELLS, BASE_CELLS, CELL_DEPTH, CELL_ROWS = 5, 2, 2, 8_192
 PACK, QUERY_BLOCK, DEPTH, NEAR_ROWS = 8_192, 1_024, 96, 200_000
-BUFFER, PAIRS, MATRIX = 20_000, 400_000, 16_384  # rows held, pairs at once, pairs from which a cell is scored as a matrix
+TASK_ROWS, BUFFER, PAIRS, MATRIX = 50_000, 20_000, 400_000, 16_384  # rows of a task and held, pairs at once and that make a cell a matrix
 
 
 @dataclass(frozen=True)
@@ -292,8 +292,9 @@ def neighbours_above(
         .withColumn("part", F.when(stored, F.col("copy")).otherwise(F.col("spot")))
         .select("cell", "block", "part", "kind", "id", "vec", "codes", "rest")
     )
+    tasks = max(1, -(-placed.count() // TASK_ROWS))
     found = (
-        spread.repartition("cell", "block", "part")
+        spread.repartition(tasks, "cell", "block", "part")
         .sortWithinPartitions("cell", "block", "part", "kind")
         .mapInArrow(lambda it: _search_cells(it, books, least, k, width), "id long, other long, cosine double")
     )
