@@ -51,3 +51,9 @@ EXEMPT_PHRASES = (
     "无法确定", "无法回答", "没有提到", "未提及", "不足以",
     "希望对你有帮助", "希望这个回答", "很高兴为你", "祝你阅读愉快", "欢迎继续提问", "如果还有其他问题",
 )
+
+# Generated lists: what is taken off their lines, and between and around names.
+LIST_MARK = "^(?:[-*•·]|[0-9]+[.、．)）])\\s*"
+OUTER_QUOTES = "^(?:\"(.*)\"|「(.*)」|\u201c(.*)\u201d|'(.*)')$"
+NAME_BREAKS = "[、,，。；;\\s]+"
+NAME_EDGES = "^[.！!：:（）()「」《》]+|[.！!：:（）()「」《》]+$"

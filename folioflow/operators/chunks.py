@@ -103,3 +103,25 @@ def neighbour_windows(chunks: DataFrame, n: int = 2) -> DataFrame:
         .groupBy("novel", "chunk_id")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("other", "t"))), lambda x: x["t"]), "\n").alias("window"))
     )
+
+
+def matching(conditions: dict[str, object]) -> Column:
+    """A condition put together at run time: a list is a set to be in, a pair of bounds (either may be
+    None) an interval, a text with ``%`` or ``_`` a pattern without case, None a missing value, anything
+    else an equal value. No conditions hold for every row."""
+    out = F.lit(True)
+    for name, wanted in conditions.items():
+        c = F.col(name)
+        if wanted is None:
+            one = c.isNull()
+        elif isinstance(wanted, list):
+            one = c.isin(wanted)
+        elif isinstance(wanted, tuple):
+            low, high = wanted
+            one = (c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True))
+        elif isinstance(wanted, str) and ("%" in wanted or "_" in wanted):
+            one = c.ilike(wanted)
+        else:
+            one = c == wanted
+        out = out & one
+    return out

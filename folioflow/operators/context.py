@@ -114,3 +114,30 @@ def prompt_blocks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return parts.groupBy("qid").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n---\n").alias("prompt")
     )
+
+
+def around(asked: DataFrame, chunks: DataFrame, radius: int = 1, most: int = 3) -> DataFrame:
+    """(qid, novel, chunk_id): the chunks at most ``radius`` (0 to ``most``) ids from ``asked(qid, novel, chunk_id)``."""
+    r = max(0, min(radius, most))
+    wide = asked.select("qid", "novel", F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_id") - r), F.col("chunk_id") + r)).alias("chunk_id"))
+    return wide.join(chunks.select("novel", "chunk_id"), ["novel", "chunk_id"]).select("qid", "novel", "chunk_id")
+
+
+def chapter_like(asked: DataFrame, chunks: DataFrame, limit: int = 8, most: int = 12) -> DataFrame:
+    """(qid, novel, chunk_id, complete): the first ``limit`` (1 to ``most``) chunks of a book whose
+    chapter title has what ``asked(qid, novel, title)`` names, without case; ``%`` and ``_`` in it are
+    wildcards. One chunk more is looked for, so ``complete`` tells whether there are no others."""
+    n = max(1, min(limit, most))
+    like = F.expr("chapter_title ILIKE concat('%', title, '%')")
+    hits = asked.select("qid", "novel", "title").join(chunks.select("novel", "chunk_id", "chapter_title"), "novel").where(like).select("qid", "novel", "chunk_id")
+    first = hits.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("r") <= n + 1)
+    complete = F.max("r").over(Window.partitionBy("qid")) <= n
+    return first.withColumn("complete", complete).where(F.col("r") <= n).drop("r")
+
+
+def cached_contexts(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(reused, pending)``: chunks whose text has a context in ``cache(text_hash, context)``, with it,
+    and those that have none."""
+    keyed = chunks.withColumn("text_hash", F.md5("text"))
+    known = cache.where(~T.is_blank(F.col("context"))).groupBy("text_hash").agg(F.min("context").alias("cached"))
+    return keyed.join(known, "text_hash"), keyed.join(known.select("text_hash"), "text_hash", "left_anti")

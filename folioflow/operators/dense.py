@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 
-BLOCK = 8_192
+BLOCK, NEAR_QUERIES = 8_192, 20_000
 
 
 def scoped(queries: DataFrame, chunks: DataFrame, k: int, scope: str = "novel") -> DataFrame:
@@ -55,21 +55,62 @@ def _top(batches: Iterator[pa.RecordBatch], k: int, per_book: bool) -> Iterator[
                 )
 
 
-def _scored(queries: DataFrame, chunks: DataFrame, k: int, block: int, per_book: bool) -> DataFrame:
-    """A stated query set against all chunks, block by block."""
-    asked = _blocks(queries.select("qid", "vec"), ["qid"], "vec", 1_024).select(F.col("rows").alias("asked"))
-    rows = _blocks(chunks.select("novel", "chunk_id", "embedding"), ["novel", "chunk_id"], "embedding", block)
+def _near(batches: Iterator[pa.RecordBatch], shared, k: int, per_book: bool) -> Iterator[pa.RecordBatch]:
+    """As ``_top``, for queries that every worker holds and rows as they are scanned."""
+    ids, q = shared.value
+    unit = q / np.linalg.norm(q, axis=1)[:, None]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        e = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        e /= np.linalg.norm(e, axis=1)[:, None]
+        books = batch.column("novel").dictionary_encode().indices.to_numpy() if per_book else np.zeros(batch.num_rows, np.int64)
+        order = np.argsort(books, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(books[order]) != 0])
+        for lo in range(0, len(ids), 256):
+            score = np.round(unit[lo : lo + 256] @ e.T, 6)[:, order]
+            asked, row = [], []
+            for a, b in zip(first, [*first[1:], len(order)], strict=True):
+                own = score[:, a:b]
+                least = np.partition(own, max(0, b - a - k), axis=1)[:, max(0, b - a - k)]  # the k-th score
+                n, m = np.nonzero(own >= least[:, None])
+                asked.append(n)
+                row.append(m + a)
+            n, m = np.concatenate(asked), np.concatenate(row)
+            at = pa.array(order[m])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[lo + n]), batch.column("novel").take(at), batch.column("chunk_id").take(at), pa.array(score[n, m])],
+                names=["qid", "novel", "chunk_id", "score"],
+            )
+
+
+def _scored(queries: DataFrame, chunks: DataFrame, k: int, block: int, per_book: bool, near_queries: int = NEAR_QUERIES) -> DataFrame:
+    """A stated query set against all chunks. A set of a checked size goes to where the chunks are
+    scanned, and only the best of each batch leave; a larger one meets them block by block."""
     schema = "qid long, novel string, chunk_id int, score double"
-    return rows.join(asked, F.lit(True)).mapInArrow(lambda it: _top(it, k, per_book), schema)
+    rows = chunks.select("novel", "chunk_id", "embedding")
+    small = queries.select("qid", "vec").limit(near_queries + 1).toArrow()
+    if small.num_rows <= near_queries:
+        if not small.num_rows:
+            return rows.sparkSession.createDataFrame([], schema)
+        vec = small.column("vec").combine_chunks()
+        vec = pa.concat_arrays(vec.chunks) if isinstance(vec, pa.ChunkedArray) else vec
+        ids = small.column("qid").to_numpy()
+        q = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+        return rows.mapInArrow(lambda it: _near(it, shared, k, per_book), schema)
+    asked = _blocks(queries.select("qid", "vec"), ["qid"], "vec", 1_024).select(F.col("rows").alias("asked"))
+    blocks = _blocks(rows, ["novel", "chunk_id"], "embedding", block)
+    return blocks.join(asked, F.lit(True)).mapInArrow(lambda it: _top(it, k, per_book), schema)
 
 
-def exact(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def exact(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK, near_queries: int = NEAR_QUERIES) -> DataFrame:
     """(qid, novel, chunk_id, score, rank): the ``k`` nearest chunks of each query."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "novel", "chunk_id")
-    return _scored(queries, chunks, k, block, False).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _scored(queries, chunks, k, block, False, near_queries).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def per_book(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def per_book(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK, near_queries: int = NEAR_QUERIES) -> DataFrame:
     """(qid, novel, chunk_id, score): the ``k`` nearest chunks of every book for each query."""
     best = Window.partitionBy("qid", "novel").orderBy(F.desc("score"), "chunk_id")
-    return _scored(queries, chunks, k, block, True).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return _scored(queries, chunks, k, block, True, near_queries).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

@@ -83,5 +83,24 @@ def precision_recall(pairs: DataFrame, labels: list[str]) -> DataFrame:
     return out
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+def by_category(cases: DataFrame, category: Column, right: Column) -> DataFrame:
+    """(category, cases, accuracy)."""
+    return cases.groupBy(category.alias("category")).agg(F.count("*").alias("cases"), F.round(F.avg(right.cast("double")), 6).alias("accuracy"))
+
+
+def compared(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(qid, hit_rank, baseline_rank, change) of two runs ``(qid, hit_rank)``: fixed, broken, better,
+    worse or same; NULL ranks are misses, cases of one run only are added or removed."""
+    a = now.select("qid", "hit_rank", F.lit(True).alias("is_now"))
+    b = before.select("qid", F.col("hit_rank").alias("baseline_rank"), F.lit(True).alias("was"))
+    x, y = F.col("hit_rank"), F.col("baseline_rank")
+    change = (
+        F.when(F.col("was").isNull(), "added")
+        .when(F.col("is_now").isNull(), "removed")
+        .when(x.eqNullSafe(y), "same")
+        .when(y.isNull(), "fixed")
+        .when(x.isNull(), "broken")
+        .when(x < y, "better")
+        .otherwise("worse")
+    )
+    return a.join(b, "qid", "full_outer").select("qid", "hit_rank", "baseline_rank", change.alias("change"))

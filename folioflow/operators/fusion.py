@@ -70,3 +70,24 @@ def confidence(ranked: DataFrame, questions: DataFrame, chunks: DataFrame) -> Da
     gap, cover = F.round(F.coalesce(F.col("s1") - F.col("s2"), F.lit(1.0)), 6), F.round(F.coalesce("coverage", F.lit(1.0)), 6)
     low = (cover < TERM_COVERAGE_MIN) | ((gap < SCORE_GAP_LOW) & (F.col("dispersion") <= 1))
     return per.join(seen, "qid", "left").select("qid", gap.alias("score_gap"), cover.alias("term_coverage"), "dispersion", low.alias("is_low"))
+
+
+def merged_pool(pools: list[DataFrame]) -> DataFrame:
+    """(qid, novel, chunk_id, place, rank) of candidates of several searches ``(qid, novel, chunk_id,
+    rank)``: each chunk once per question, from the first search that found it."""
+    named = [df.select("qid", "novel", "chunk_id", F.lit(i).alias("place"), F.col("rank").cast("int").alias("rank")) for i, df in enumerate(pools)]
+    seen = reduce(DataFrame.unionByName, named).groupBy("qid", "novel", "chunk_id").agg(F.min(F.struct("place", "rank")).alias("s"))
+    return seen.select("qid", "novel", "chunk_id", "s.place", "s.rank")
+
+
+def rescue(candidates: DataFrame, signals: DataFrame, found: list[DataFrame], questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(qid, novel, chunk_id, score, rank, rescued): ``candidates`` of questions that ``signals(qid,
+    is_low)`` call low are merged with what their variants ``found`` and ranked once more; the others
+    stay as they are. A rescue that finds nothing new leaves the candidates."""
+    low = signals.where("is_low").select("qid")
+    pool = merged_pool([candidates, *found]).join(low, "qid", "left_semi")
+    order = Window.partitionBy("qid").orderBy("place", "rank", "novel", "chunk_id")
+    again = rerank(pool.withColumn("rank", F.row_number().over(order)), questions, chunks, k)
+    kept = candidates.join(low, "qid", "left_anti").where(F.col("rank") <= k)
+    cols = ["qid", "novel", "chunk_id", "score", "rank"]
+    return kept.select(*cols, F.lit(False).alias("rescued")).unionByName(again.select(*cols, F.lit(True).alias("rescued")))

@@ -23,6 +23,12 @@ def speakers(chunks: DataFrame, least_share: int = 50, most: int = 20) -> DataFr
     return kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("novel", "name", "n")
 
 
+def named_in_batches(chunks: DataFrame, size: int = 10, least: int = 2) -> DataFrame:
+    """(novel, name, batches): persons named in at least ``least`` batches of ``size`` chunk numbers."""
+    said = chunks.select("novel", F.floor(F.col("chunk_id") / size).alias("batch"), F.explode(F.regexp_extract_all("text", F.lit(SPEAKER), F.lit(1))).alias("name"))
+    return said.groupBy("novel", "name").agg(F.countDistinct("batch").alias("batches")).where(F.col("batches") >= least)
+
+
 def relation_chunks(chunks: DataFrame) -> DataFrame:
     """(novel, chunk_id, relation, text): every chunk with a trigger of the relation; books with
     fewer than two are left out."""

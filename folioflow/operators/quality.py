@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import CHUNK_SIZE, EMBEDDING_WIDTH
@@ -15,29 +18,45 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces rows of ``old`` with its keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
-
-
 def source_hashes(chunks: DataFrame) -> DataFrame:
     """(novel, chunk_count, content_hash): an order-free digest of a book's chunks."""
     part = F.conv(F.substring(F.md5(F.concat(F.col("chunk_id").cast("string"), F.lit(":"), F.col("text"))), 1, 12), 16, 10).cast("decimal(20,0)")
     return chunks.groupBy("novel").agg(F.count("*").alias("chunk_count"), F.sum(part).cast("string").alias("content_hash"))
 
 
-def change_plan(manifest: DataFrame, current: DataFrame, pipeline_hash: str) -> DataFrame:
-    """(novel, change) of ``manifest(novel, source_hash, pipeline_hash, chunk_count)`` against
-    ``current(novel, chunk_count)``: added, modified, deleted or unchanged."""
-    m = manifest.select("novel", F.col("pipeline_hash").alias("p"), F.col("chunk_count").alias("m"))
-    c = current.select("novel", F.col("chunk_count").alias("c"))
+def pipeline_hash(**settings: object) -> str:
+    """Fingerprint of the settings that an index was built with, in any order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def change_plan(directory: DataFrame, manifest: DataFrame, indexed: DataFrame, pipeline: str | Column, force: bool = False) -> DataFrame:
+    """(novel, change) of ``directory(novel, source_hash)`` against ``manifest(novel, source_hash,
+    pipeline_hash)`` and the books of ``indexed(novel)``.
+
+    A book of the index without manifest is ``modified`` (it is taken over); one that lacks either is
+    ``added``; another hash of its source or of the pipeline, or ``force``, makes it ``modified``; what
+    the directory lacks is ``deleted``. NULL hashes differ from all others. A row a book on all sides.
+    """
+    d = directory.select("novel", F.col("source_hash").alias("new"), F.lit(True).alias("there"))
+    m = manifest.select("novel", F.col("source_hash").alias("old"), F.col("pipeline_hash").alias("made_by"), F.lit(True).alias("known"))
+    i = indexed.select("novel").distinct().withColumn("published", F.lit(True))
+    pipeline = F.lit(pipeline) if isinstance(pipeline, str) else pipeline
+    same = F.coalesce((F.col("new") == F.col("old")) & (F.col("made_by") == pipeline), F.lit(False)) & F.lit(not force)
     change = (
-        F.when(F.col("c").isNull(), "deleted")
-        .when(F.col("m").isNull(), "added")
-        .when((F.col("p") != pipeline_hash) | (F.col("m") != F.col("c")), "modified")
+        F.when(F.col("there").isNull(), "deleted")
+        .when(F.col("known").isNull() & F.col("published").isNotNull(), "modified")
+        .when(F.col("known").isNull() | F.col("published").isNull(), "added")
+        .when(~same, "modified")
         .otherwise("unchanged")
     )
-    return m.join(c, "novel", "full_outer").select("novel", change.alias("change"))
+    return d.join(m, "novel", "full_outer").join(i, "novel", "full_outer").select("novel", change.alias("change"))
+
+
+def contextual_decision(books: DataFrame, most_chunks: int, mode: str = "auto", backend: bool = True) -> DataFrame:
+    """(novel, builds, skipped_because) of ``books(novel, chunks)``: contexts are built unless the mode is
+    ``off``, the book has over ``most_chunks`` chunks, or the mode is ``auto`` and no backend is there."""
+    reason = F.when(F.lit(mode == "off"), "off").when(F.col("chunks") > most_chunks, "too many chunks").when(F.lit(mode == "auto" and not backend), "no backend")
+    return books.select("novel", reason.isNull().alias("builds"), reason.alias("skipped_because"))
 
 
 def report(chunks: DataFrame, limit: int = CHUNK_SIZE, width: int = EMBEDDING_WIDTH) -> DataFrame:

@@ -12,7 +12,7 @@ from folioflow.operators import lexical as L
 from folioflow.plans import sql as S
 from folioflow.plans.register import query
 from folioflow.plans.retrieve import nodes
-from folioflow.plans.texts import chunks, latest_turns
+from folioflow.plans.texts import chunks, latest_turns, shelf
 from folioflow.session import table
 from folioflow.streaming.ingest import drain_turns
 
@@ -22,12 +22,16 @@ cs AS (SELECT q.qid, min(rank) FILTER (WHERE b.novel = want AND chunk_id BETWEEN
   coalesce(bool_or(rank = 1 AND b.novel = want), false) AS routed FROM q LEFT JOIN b ON b.qid = q.qid GROUP BY q.qid)"""
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, hit_rank, routed): each chapter's title as a question, its own chunks as the answer."""
-    q = nodes(spark, sf_dir).where("level = 'chapter' AND title IS NOT NULL").select(
+def _questions_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).where("level = 'chapter' AND title IS NOT NULL").select(
         F.col("summary_id").alias("qid"), F.col("title").alias("question"), F.col("novel").alias("want"), "start_chunk_id", "end_chunk_id"
     )
-    found = L.bm25(chunks(spark, sf_dir), q.select("qid", "question"), 20)
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, hit_rank, routed): each chapter's title as a question, its own chunks as the answer."""
+    q = _questions_asked(spark, sf_dir)
+    found = L.bm25(shelf(spark, sf_dir), q.select("qid", "question"), 20)
     hit = (F.col("novel") == F.col("want")) & F.col("chunk_id").between(F.col("start_chunk_id"), F.col("end_chunk_id"))
     return q.join(found, "qid", "left").groupBy("qid").agg(
         F.min(F.when(hit, F.col("rank"))).alias("hit_rank"),
@@ -141,7 +145,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("summary_id").alias("qid"), F.col("title").alias("question"), F.col("novel").alias("want"), "start_chunk_id", "end_chunk_id"
     )
     c = chunks(spark, sf_dir)
-    found = L.bm25(c, q.select("qid", "question"), 20).join(c.select("novel", "chunk_id", F.char_length("text").alias("n")), ["novel", "chunk_id"])
+    found = L.bm25(shelf(spark, sf_dir), q.select("qid", "question"), 20).join(c.select("novel", "chunk_id", F.char_length("text").alias("n")), ["novel", "chunk_id"])
     hit = (F.col("novel") == F.col("want")) & F.col("chunk_id").between(F.col("start_chunk_id"), F.col("end_chunk_id"))
     wide = found.join(q, "qid").withColumn("hit", hit).withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in (1, 3, 5, 10, 20)]), lambda k: k >= F.col("rank"))))
     per = wide.groupBy("k", "qid").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import words
@@ -15,8 +15,6 @@ from folioflow.plans.retrieve import nodes
 from folioflow.plans.texts import chunks, latest_turns
 from folioflow.session import table
 
-PIPELINE = "c17c33675a6bb059"
-
 
 @query(f"WITH {S.CHUNKS} SELECT count(DISTINCT novel) AS books, count(*) AS chunks, count(DISTINCT chapter_title) AS titles FROM c")
 def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +47,29 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).select("novel", "source_hash", "pipeline_hash", "chunk_count")
 
 
+_PUBLISHES = """pb AS (SELECT *, row_number() OVER (PARTITION BY novel ORDER BY indexed_at DESC, source_hash DESC) AS k FROM index_manifest)"""
+
+
 @query(
-    f"""WITH {S.CHUNKS}, {_MANIFEST}, n AS (SELECT novel, count(*) AS k FROM c GROUP BY novel)
-SELECT novel, CASE WHEN n.k IS NULL THEN 'deleted' WHEN m.chunk_count IS NULL THEN 'added' WHEN m.pipeline_hash <> '{PIPELINE}' OR m.chunk_count <> n.k THEN 'modified' ELSE 'unchanged' END AS change FROM m FULL OUTER JOIN n USING (novel)"""
+    f"""WITH {S.CHUNKS}, {_PUBLISHES}, d AS (SELECT novel, source_hash FROM pb WHERE k = 1), m AS (SELECT novel, source_hash, pipeline_hash FROM pb WHERE k = 2),
+i AS (SELECT DISTINCT novel FROM c), v AS (SELECT pipeline_hash AS p FROM index_manifest ORDER BY indexed_at DESC, pipeline_hash DESC LIMIT 1), n AS (SELECT novel FROM d UNION SELECT novel FROM m UNION SELECT novel FROM i)
+SELECT n.novel, CASE WHEN n.novel NOT IN (SELECT novel FROM d) THEN 'deleted'
+  WHEN m.novel IS NULL AND i.novel IS NOT NULL THEN 'modified' WHEN m.novel IS NULL OR i.novel IS NULL THEN 'added'
+  WHEN d.source_hash IS DISTINCT FROM m.source_hash OR m.pipeline_hash IS DISTINCT FROM v.p THEN 'modified' ELSE 'unchanged' END AS change
+FROM n LEFT JOIN d USING (novel) LEFT JOIN m USING (novel) LEFT JOIN i USING (novel) CROSS JOIN v"""
 )
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = chunks(spark, sf_dir).groupBy("novel").agg(F.count("*").alias("chunk_count"))
-    return Q.change_plan(manifest(spark, sf_dir), current, PIPELINE)
+    """What the last publishes change against the ones before: the latest row of a book is taken for
+    what the directory holds, the row before it for its manifest, the latest of all for the pipeline."""
+    every = table(spark, sf_dir, "index_manifest")
+    order = Window.partitionBy("novel").orderBy(F.desc("indexed_at"), F.desc("source_hash"))
+    numbered = every.withColumn("k", F.row_number().over(order))
+    now = every.agg(F.max(F.struct("indexed_at", "pipeline_hash")).alias("m")).select(F.col("m.pipeline_hash").alias("now"))
+    before = numbered.where("k = 2").join(F.broadcast(now), F.lit(True))  # one row
+    # a NULL in place of the hash where it is not the current one
+    made_now = F.when(F.col("pipeline_hash") == F.col("now"), F.lit("now")).alias("pipeline_hash")
+    manifest = before.select("novel", "source_hash", made_now)
+    return Q.change_plan(numbered.where("k = 1"), manifest, chunks(spark, sf_dir), "now")
 
 
 @query(
@@ -114,8 +128,7 @@ _SPEAKER = "[。！？”』」\\n]([\\x{4e00}-\\x{9fff}]{2,3})(?:笑|喝|叹|
 _KINDS = " UNION ALL ".join(f"SELECT novel, chunk_id, text, '{k}' AS relation FROM c WHERE {S.any_of('text', v)}" for k, v in words.RELATION_TRIGGERS.items())
 _PERSONS = f"""{S.CHUNKS}, sn AS (SELECT novel, name, count(*) AS n FROM (SELECT novel, chunk_id, unnest(list_distinct(regexp_extract_all(text, '{_SPEAKER}', 1))) AS name FROM c) GROUP BY 1, 2),
 sz AS (SELECT novel, count(*) AS k FROM c GROUP BY 1), sp AS (SELECT novel, name, n FROM sn JOIN sz USING (novel) WHERE n >= greatest(2, k // 50) QUALIFY row_number() OVER (PARTITION BY novel ORDER BY n DESC, name) <= 20)"""
-_EDGES = f"""{_PERSONS}, rk0 AS ({_KINDS}), rk1 AS (SELECT *, count(*) OVER (PARTITION BY novel, relation) AS n, row_number() OVER (PARTITION BY novel, relation ORDER BY chunk_id) - 1 AS p FROM rk0),
-rc AS (SELECT novel, chunk_id, relation, text FROM rk1 WHERE n >= 2 AND p % greatest(1, n // 80) = 0 AND p // greatest(1, n // 80) < 80),
+_EDGES = f"""{_PERSONS}, rk0 AS ({_KINDS}), rc AS (SELECT novel, chunk_id, relation, text FROM rk0 QUALIFY count(*) OVER (PARTITION BY novel, relation) >= 2),
 sq AS (SELECT rc.novel, chunk_id, relation, name FROM rc JOIN sp ON sp.novel = rc.novel AND contains(text, name)),
 ed AS (SELECT a.novel, a.name AS person_a, b.name AS person_b, a.relation, count(*) AS weight FROM sq a JOIN sq b ON a.novel = b.novel AND a.chunk_id = b.chunk_id AND a.relation = b.relation AND a.name < b.name GROUP BY ALL)"""
 

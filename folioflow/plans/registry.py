@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.plans import evaluate, index, retrieve, texts
+from folioflow.plans import catalogue, evaluate, index, retrieve, texts
 from folioflow.plans.register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluate", "index", "retrieve", "texts"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "evaluate", "index", "retrieve", "texts"]

@@ -17,7 +17,7 @@ from folioflow.operators import lexical as L
 from folioflow.operators import understand as U
 from folioflow.plans import sql as S
 from folioflow.plans.register import query
-from folioflow.plans.texts import chunks, latest_turns
+from folioflow.plans.texts import chunks, latest_turns, shelf
 from folioflow.session import table
 
 
@@ -44,7 +44,7 @@ def with_vector(q: DataFrame) -> DataFrame:
 
 @query(f"WITH {S.CHUNKS} SELECT count(*) AS n, round(avg(len({S.terms('text')})), 6) AS avgdl FROM c")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lengths(chunks(spark, sf_dir)).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return shelf(spark, sf_dir).docs.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 _DF = f"WITH {S.CHUNKS}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT novel, chunk_id, unnest({S.terms('text')}) AS term FROM c) GROUP BY term)"
@@ -52,8 +52,7 @@ _DF = f"WITH {S.CHUNKS}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT
 
 @query(_DF + " SELECT term, df FROM d")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = chunks(spark, sf_dir).select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    return once.groupBy("term").agg(F.count("*").alias("df"))
+    return shelf(spark, sf_dir).frequencies
 
 
 @query(_DF + ", s AS (SELECT count(*) AS n FROM c) SELECT term, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 6) AS idf FROM d, s")
@@ -64,7 +63,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.CHUNKS}, {S.QUESTIONS}, {S.bm25('q')} SELECT qid, novel, chunk_id, score, rank::INT AS rank FROM b")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.bm25(chunks(spark, sf_dir), U.questions(table(spark, sf_dir, "chat_turns")), 20)
+    return L.bm25(shelf(spark, sf_dir), U.questions(table(spark, sf_dir, "chat_turns")), 20)
 
 
 _NAMED = f"""n AS (SELECT DISTINCT novel FROM c),
@@ -76,7 +75,7 @@ nb AS (SELECT DISTINCT qid, novel FROM (SELECT qid, unnest(regexp_extract_all(qu
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that name books, with statistics of those books only."""
     c, q = chunks(spark, sf_dir), U.questions(table(spark, sf_dir, "chat_turns"))
-    return L.bm25(c, q.join(U.named_books(q, c.select("novel").distinct()), "qid"), 20, ["novel"])
+    return L.bm25(shelf(spark, sf_dir), q.join(U.named_books(q, c.select("novel").distinct()), "qid"), 20, ["novel"])
 
 
 _DENSE = f"""dn AS (SELECT qid, c.novel, chunk_id, {S.cosine('vec', 'embedding')} AS score FROM q, c WHERE {S.usable('vec')} AND {S.usable('embedding')}),
@@ -132,7 +131,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, previo
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir)
     head = q.select("qid", "novel").join(X.positional(c, False, 3), "novel")
-    return fusion.channels([("dense", cosine_topk(spark, sf_dir)), ("keyword", L.bm25(c, q.select("qid", "question"), 20)), ("positional", head)])
+    return fusion.channels([("dense", cosine_topk(spark, sf_dir)), ("keyword", L.bm25(shelf(spark, sf_dir), q.select("qid", "question"), 20)), ("positional", head)])
 
 
 @query(f"WITH {_CHANNELS} SELECT qid, novel, chunk_id, channel, rank::INT AS rank FROM ch")
@@ -178,11 +177,12 @@ def confidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best chunks by words alone, as hits for what follows retrieval."""
-    return L.bm25(chunks(spark, sf_dir), asked(spark, sf_dir).select("qid", "question"), 3)
+    """The three best chunks by words alone for every chapter title, as hits for what follows retrieval."""
+    chapter = nodes(spark, sf_dir).where("level = 'chapter' AND title IS NOT NULL")
+    return L.bm25(shelf(spark, sf_dir), chapter.select(F.col("summary_id").alias("qid"), F.col("title").alias("question")), 3)
 
 
-_TOP = f"{S.CHUNKS}, {ASKED}, {S.bm25('q', k=3)}"
+_TOP = f"{S.CHUNKS}, {ASKED.replace(' AND summary_id % 50 = 0', '')}, {S.bm25('q', k=3)}"
 
 
 @query(f"WITH {_TOP} SELECT qid, c.novel, c.chunk_id, min(rank)::INT AS hit_rank FROM b JOIN c ON c.novel = b.novel AND c.chunk_id BETWEEN b.chunk_id - 1 AND b.chunk_id + 1 GROUP BY 1, 2, 3")
@@ -231,12 +231,27 @@ def hierarchy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.chapter_nodes(chunks(spark, sf_dir)).drop("summary")
 
 
-@query()
+def _summary_sql(title: str, texts: str, limit: int = 800) -> str:
+    """The summary of the texts in the order of a list, at most five of them, evenly spread."""
+    picked = f"list_transform(CASE WHEN len({texts}) <= 5 THEN range(len({texts})) ELSE list_sort(list_distinct(list_transform(range(5), lambda i: round_even(i * (len({texts}) - 1) / 4.0, 0)::BIGINT))) END, lambda i: {texts}[i + 1])"
+    share = f"greatest(40, (({limit} - length({title}) - 9) // least(len({texts}), 5))::BIGINT)"
+    body = f"array_to_string(list_transform({picked}, lambda x: substring(x, 1, {share})), ' … ')"
+    return f"substring(CASE WHEN len({texts}) = 0 THEN {title} ELSE {title} || '：' || {body} END, 1, {limit})"
+
+
+_COMPACT = S.strip(f"regexp_replace(text, '{S.BLANK}+', ' ', 'g')")
+_SUMMARIES = f"""{_RUNS}, tx AS (SELECT novel, run - 1 AS node_order, list({_COMPACT} ORDER BY chunk_id) FILTER (WHERE {_COMPACT} <> '') AS tl FROM r3 GROUP BY 1, 2),
+sm AS (SELECT ns.*, {_summary_sql('title', "coalesce(tl, []::VARCHAR[])")} AS summary FROM ns JOIN tx USING (novel, node_order)),
+bs AS (SELECT novel, '《' || novel || '》全书概览' AS title, min(start_chunk_id) AS start_chunk_id, max(end_chunk_id) AS end_chunk_id,
+  list({S.strip(f"regexp_replace(title || ' ' || summary, '{S.BLANK}+', ' ', 'g')")} ORDER BY node_order) AS y FROM sm GROUP BY novel),
+bt AS (SELECT *, list_transform(CASE WHEN len(y) <= 12 THEN range(len(y)) ELSE list_sort(list_distinct(list_transform(range(12), lambda i: round_even(i * (len(y) - 1) / 11.0, 0)::BIGINT))) END, lambda i: y[i + 1]) AS tl FROM bs)"""
+
+
+@query(f"WITH {_SUMMARIES} SELECT novel, 'chapter' AS level, title, start_chunk_id, end_chunk_id, md5(summary) AS digest FROM sm UNION ALL SELECT novel, 'novel', title, start_chunk_id, end_chunk_id, md5({_summary_sql('title', 'tl')}) FROM bt")
 def hierarchy_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = H.chapter_nodes(chunks(spark, sf_dir))
-    books = H.book_nodes(made)
-    chapters = made.select("novel", F.lit("chapter").alias("level"), "title", "start_chunk_id", "end_chunk_id", "summary")
-    return chapters.unionByName(books.select("novel", F.lit("novel").alias("level"), "novel", "start_chunk_id", "end_chunk_id", "summary").toDF(*chapters.columns))
+    cols = ["novel", "level", "title", "start_chunk_id", "end_chunk_id", F.md5("summary").alias("digest")]
+    return made.withColumn("level", F.lit("chapter")).select(*cols).unionByName(H.book_nodes(made).withColumn("level", F.lit("novel")).select(*cols))
 
 
 @query(
@@ -306,8 +321,3 @@ def needs_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S.CHUNKS}, {S.QUESTIONS}, {_NAMED} SELECT qid, novel FROM nb")
 def named_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.named_books(_questions(spark, sf_dir), chunks(spark, sf_dir).select("novel").distinct())
-
-
-@query()
-def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.fuzzy_books(_questions(spark, sf_dir), chunks(spark, sf_dir).select("novel").distinct())

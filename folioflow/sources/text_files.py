@@ -42,7 +42,3 @@ def books(spark: SparkSession, folder: str) -> DataFrame:
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a JSON array that have a ``retrieval`` label."""
     return spark.read.option("multiLine", True).json(path).where("retrieval IS NOT NULL")
-
-
-def write_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)

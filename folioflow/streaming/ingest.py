@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.shared import new_path
 from folioflow.sources.snapshots import Snapshots
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 def last_versions(turns: DataFrame) -> DataFrame:
@@ -50,13 +47,3 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """(window, event_type, n, total) of a stream ``events(ts, event_type, value)`` with a watermark."""
-    return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", late)
-        .groupBy(F.window("ts", window), "event_type")
-        .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    )
