@@ -47,15 +47,16 @@ def normalised(text: F.Column) -> F.Column:
     return F.translate(text, IGNORED, "")
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    return (
-        df.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
-        .where(F.col("id").isNotNull() & (F.char_length("norm") >= least))
-        .withColumn("key", F.unhex(F.md5("norm")))
-        .withColumn("d", F.shiftright(F.xxhash64("norm"), 32).cast("int"))
+def _normal(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")).where(
+        F.col("id").isNotNull() & (F.char_length("norm") >= least)
     )
 
 
+def _short_name(norm: str = "norm") -> F.Column:
+    return F.shiftright(F.xxhash64(norm), 32).cast("int").alias("d")
+
+
 def _hashed(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash of ``_HASH`` bits) of every run of every text, in order."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -334,14 +335,14 @@ def near_duplicates(
     """
     if not (0.5 < threshold <= 1 and least >= width):
         raise ValueError("threshold must be in (0.5, 1] and least at least width")
-    base = _keyed(df, id_col, text_col, least)
-    members = base.select("id", "key")
+    base = _normal(df, id_col, text_col, least)
+    keys = written(base.select("id", F.unhex(F.md5("norm")).alias("key"), _short_name()), "p1-keys")
     # about as many counters as there are runs, within bounds of memory (16 MB to 64 MB a task)
-    bits = int(np.clip(np.ceil(np.log2(max(df.count(), 1) * 32)), 20, 26))
+    bits = int(np.clip(np.ceil(np.log2(max(keys.count(), 1) * 32)), 20, 26))
     levels, runs = frequencies(base.select("norm"), width, bits)
     buckets = max(FEWEST, -(-int(runs * (1 - threshold) * 1.1) // list_rows))
     shared = df.sparkSession.sparkContext.broadcast(levels)  # 2^bits bytes
-    lists = base.select("d", "norm").mapInArrow(
+    lists = base.select(_short_name(), "norm").mapInArrow(
         lambda it: _postings(it, width, threshold, slack, buckets, hot, shared.value),
         "bucket int, run array<int>, part array<int>, d array<int>, n array<int>, left array<int>",
     )
@@ -350,12 +351,16 @@ def near_duplicates(
     )
     pairs = met.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _enough(it, slack), "a int, b int")
     # different texts whose 32 bits are the same were one in the lists
-    same = base.groupBy("d").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select(F.col("d").alias("a"), F.col("d").alias("b"))
+    same = keys.groupBy("d").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select(F.col("d").alias("a"), F.col("d").alias("b"))
     pairs = written(pairs.union(same), "p1-pairs")
     # the text of one row of each class that is in a pair
     wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    reps = written(base.select("id", "key", "d").join(wanted, "d", "left_semi").groupBy("key").agg(F.min("id").alias("id")), "p1-reps")
-    texts = base.join(reps, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "d", "norm")
+    reps = written(
+        keys.join(wanted, "d", "left_semi").groupBy("key").agg(F.min("id").alias("id"), F.first("d").alias("d")), "p1-reps"
+    )
+    # an id may come again with another text, which then is not of the class
+    own = base.join(reps, "id").where(F.unhex(F.md5("norm")) == F.col("key"))
+    texts = own.dropDuplicates(["key"]).select("key", "d", "norm")
     links = (
         pairs.join(texts.select(F.col("d").alias("a"), F.col("key").alias("x"), F.col("norm").alias("norm_x")), "a")
         .join(texts.select(F.col("d").alias("b"), F.col("key").alias("y"), F.col("norm").alias("norm_y")), "b")
@@ -363,7 +368,7 @@ def near_duplicates(
         .select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), F.col("norm_x").alias("norm_a"), F.col("norm_y").alias("norm_b"))
         .mapInArrow(lambda it: _probe(it, threshold, width), "key_a binary, key_b binary, resemblance double")
     )
-    return members, links
+    return keys.select("id", "key"), links
 
 
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

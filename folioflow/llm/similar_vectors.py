@@ -267,9 +267,9 @@ def neighbours_above(
     if not len(sample):
         return empty
     books = fit(sample)
-    distinct = vectors.join(reps.where("n > 1"), ["class", "id"], "left_semi").unionByName(
-        vectors.join(reps.where("n > 1").select("class"), "class", "left_anti")
-    )
+    # all rows of a class but the one that stands for it
+    other = members.join(reps.where("n > 1").select("class", F.col("id").alias("rep")), "class").where("id <> rep").select("id")
+    distinct = vectors.join(other, "id", "left_anti")
     placed = written(
         distinct.select("id", "vec").mapInArrow(
             lambda it: _placed(it, books, cell_depth, base_cells, query_cells, width),
