@@ -57,11 +57,12 @@ def bigrams(run: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Terms in order, repeats kept: words of Latin letters and digits, bigrams of ideographs,
-    without stop words. Questions and chunks share this one segmentation."""
-    latin = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]{2,}"), F.lit(0))
-    han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[\\x{4e00}-\\x{9fff}]{2,}"), F.lit(0)), bigrams))
-    return F.filter(F.concat(latin, han), lambda t: ~t.isin(words.STOP_WORDS))
+    """Terms in order, repeats kept: words of scripts that have spaces between them, bigrams of those
+    that have none (ideographs, kana, Hangul, Thai), without stop words. Questions and chunks share
+    this one segmentation."""
+    spaced = F.regexp_extract_all(text, F.lit(f"[{words.SPACED}]{{2,}}"), F.lit(0))
+    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"[{words.UNSPACED}]{{2,}}"), F.lit(0)), bigrams))
+    return F.filter(F.concat(spaced, runs), lambda t: ~t.isin(words.STOP_WORDS))
 
 
 def query_terms(text: Column) -> Column:

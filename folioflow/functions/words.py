@@ -57,3 +57,12 @@ LIST_MARK = "^(?:[-*•·]|[0-9]+[.、．)）])\\s*"
 OUTER_QUOTES = "^(?:\"(.*)\"|「(.*)」|\u201c(.*)\u201d|'(.*)')$"
 NAME_BREAKS = "[、,，。；;\\s]+"
 NAME_EDGES = "^[.！!：:（）()「」《》]+|[.！!：:（）()「」《》]+$"
+
+# Letters and digits of scripts with spaces between words, and of those without.
+SPACED = (
+    "A-Za-z0-9\\x{00c0}-\\x{00d6}\\x{00d8}-\\x{00f6}\\x{00f8}-\\x{024f}\\x{0370}-\\x{03ff}\\x{0400}-\\x{052f}"
+    "\\x{0620}-\\x{0669}\\x{066e}-\\x{06d3}\\x{0900}-\\x{0963}\\x{0966}-\\x{097f}"
+)
+UNSPACED = "\\x{0e00}-\\x{0e5b}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{30fc}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}"
+#: A sentence with its end marks, for paragraphs that are too long for a chunk.
+SENTENCES = "[^。！？…；\n]*[。！？…；]+|[^。！？…；\n]+"

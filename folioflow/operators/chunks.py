@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import CHUNK_OVERLAP, CHUNK_SIZE
 from folioflow.functions import text as T
+from folioflow.functions import words
 
 
 def book_paragraphs(books: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,7 +28,7 @@ def sections(paragraphs: DataFrame, key: str) -> DataFrame:
 
 def long_pieces(paragraph: Column, size: int = CHUNK_SIZE) -> Column:
     """Pieces of at most ``size``: sentences packed together, a longer sentence cut hard."""
-    found = F.regexp_extract_all(paragraph, F.lit("[^。！？…；\n]*[。！？…；]+|[^。！？…；\n]+"), F.lit(0))
+    found = F.regexp_extract_all(paragraph, F.lit(words.SENTENCES), F.lit(0))
 
     def cut(s: Column) -> Column:
         return F.transform(
@@ -95,9 +96,10 @@ def published(novel_chunks: DataFrame) -> DataFrame:
 def neighbour_windows(chunks: DataFrame, n: int = 2) -> DataFrame:
     """(novel, chunk_id, window): texts of the chunks at most ``n`` places away, joined by LF."""
     ranked = Window.partitionBy("novel").orderBy("chunk_id")
-    base = chunks.select("novel", "chunk_id", "text", F.row_number().over(ranked).alias("place"))
-    near = base.select("novel", F.col("place").alias("other"), F.col("text").alias("t"))
-    wide = base.select("novel", "chunk_id", "place", F.explode(F.sequence(F.col("place") - n, F.col("place") + n)).alias("other"))
+    # places are counted without the texts
+    base = chunks.select("novel", "chunk_id").withColumn("place", F.row_number().over(ranked))
+    near = base.join(chunks.select("novel", "chunk_id", "text"), ["novel", "chunk_id"]).select("novel", F.col("place").alias("other"), F.col("text").alias("t"))
+    wide = base.select("novel", "chunk_id", F.explode(F.sequence(F.col("place") - n, F.col("place") + n)).alias("other"))
     return (
         wide.join(near, ["novel", "other"])
         .groupBy("novel", "chunk_id")

@@ -26,8 +26,8 @@ def bigrams(r: str) -> str:
 
 
 def terms(x: str) -> str:
-    han = f"flatten(list_transform(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), lambda r: {bigrams('r')}))"
-    return f"list_filter(list_concat(regexp_extract_all({x}, '[A-Za-z0-9]{{2,}}'), {han}), lambda t: t NOT IN ({quoted(words.STOP_WORDS)}))"
+    runs = f"flatten(list_transform(regexp_extract_all({x}, '[{words.UNSPACED}]{{2,}}'), lambda r: {bigrams('r')}))"
+    return f"list_filter(list_concat(regexp_extract_all({x}, '[{words.SPACED}]{{2,}}'), {runs}), lambda t: t NOT IN ({quoted(words.STOP_WORDS)}))"
 
 
 def clean(x: str) -> str:

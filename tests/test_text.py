@@ -38,6 +38,8 @@ def test_clean_text(spark):
 def test_terms_keep_repeats_and_drop_stop_words(spark):
     assert one(spark, "韩立韩立 rag 我 什么", T.terms) == ["rag", "韩立", "立韩", "韩立"]
     assert one(spark, "", T.terms) == []
+    assert one(spark, "Élan naïve Привет мир कहानी", T.terms) == ["Élan", "naïve", "Привет", "мир", "कहानी"]
+    assert one(spark, "灯りを消せ。한국말", T.terms) == ["灯り", "りを", "を消", "消せ", "한국", "국말"]
 
 
 def test_chunks_do_not_cross_headings(spark):
@@ -133,3 +135,11 @@ def test_confusion_and_precision(spark):
     assert table["supported"] == {"predicted": "supported", "supported": 2, "partial": 1, "unsupported": 0}
     got = {r["label"]: (r["precision"], r["recall"]) for r in E.precision_recall(df, ["supported", "unsupported", "none"]).collect()}
     assert got == {"supported": (0.666667, 0.666667), "unsupported": (1.0, 1.0), "none": (None, None)}
+
+
+def test_evaluation_set_keeps_labelled_cases(spark, tmp_path):
+    from folioflow.sources.text_files import evaluation_set
+
+    path = tmp_path / "cases.json"
+    path.write_text('[{"id": 1, "retrieval": {"keywords": ["a"]}}, {"id": 2}]')
+    assert [r["id"] for r in evaluation_set(spark, str(path)).collect()] == [1]
