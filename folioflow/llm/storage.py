@@ -1,43 +1,5 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""Cutting lineage through the folder that the cluster shares; see ``folioflow.sources.shared``."""
 
-from __future__ import annotations
+from folioflow.sources.shared import discard_written, shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset a local session gets a temporary
-    folder, and a cluster an error, since its machines share no such folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/folioflow-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back.
-
-    Later jobs then start from files that outlive any executor. They stay until ``discard_written``.
-    """
-    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard_written(spark: SparkSession) -> bool:
-    """Deletes all tables that this application has written; results that read them are void then."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard_written", "shared_folder", "written"]
