@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,8 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SEEN: set[str] = set()
+
+
 def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/folioflow-{spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(spark)}/folioflow-{spark.sparkContext.applicationId}"
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_delete_at_exit, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete_at_exit(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +48,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back.
 
-    Later jobs then start from files that outlive any executor. They stay until ``discard_written``.
+    Later jobs then start from files that outlive any executor. They stay until ``discard_written`` or
+    the end of the driver's process.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
