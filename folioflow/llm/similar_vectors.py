@@ -33,7 +33,7 @@ WIDTH, K = 64, 10
 LEVELS, WORDS, BEAM, SAMPLE = 8, 256, 4, 16_384
 QUERY_CELLS, BASE_CELLS, CELL_DEPTH, CELL_ROWS = 5, 2, 2, 8_192
 PACK, QUERY_BLOCK, DEPTH, NEAR_ROWS = 8_192, 1_024, 96, 200_000
-TASK_ROWS, BUFFER, PAIRS, MATRIX = 50_000, 20_000, 400_000, 16_384  # rows of a task and held, pairs at once and that make a cell a matrix
+TASK_ROWS, BUFFER, PAIRS, MATRIX = 25_000, 20_000, 400_000, 16_384  # rows of a task and held, pairs at once and that make a cell a matrix
 
 
 @dataclass(frozen=True)
