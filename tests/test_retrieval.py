@@ -113,17 +113,10 @@ def test_edges_count_every_chunk_of_a_book(spark):
     assert [(r["novel"], r["weight"]) for r in G.edges(chunks).collect()] == [("A", 200)]
 
 
-def test_change_plan(spark):
-    m = spark.createDataFrame([("same", "p", 2), ("grown", "p", 2), ("gone", "p", 1), ("other", "x", 3)], "novel string, pipeline_hash string, chunk_count int")
-    c = spark.createDataFrame([("same", 2), ("grown", 3), ("new", 1), ("other", 3)], "novel string, chunk_count long")
-    got = {r["novel"]: r["change"] for r in Q.change_plan(m, c, "p").collect()}
-    assert got == {"same": "unchanged", "grown": "modified", "gone": "deleted", "new": "added", "other": "modified"}
-
-
 def test_fuzzy_title(spark):
     novels = spark.createDataFrame([("《诡秘之主》作者：某",), ("《赤渊》",)], "novel string")
     asked = spark.createDataFrame([("q", "《闺秘之王》讲什么"), ("r", "《赤源》讲什么")], "qid string, question string")
-    assert [(r["qid"], r["distance"]) for r in U.fuzzy_books(asked, novels).collect()] == [("q", 2)]
+    assert [(r["qid"], r["typo"]) for r in U.fuzzy_books(asked, novels).collect()] == [("q", True)]
 
 
 def test_published_takes_the_last_delivery(spark):
