@@ -126,9 +126,11 @@ def _unit(x: np.ndarray, kind: type = np.float32) -> np.ndarray:
     return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(kind)
 
 
-def sampled(vectors: DataFrame, size: int = SAMPLE) -> np.ndarray:
-    """At most ``size`` unit vectors, chosen by a hash of the id."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("vec").toArrow()
+def sampled(vectors: DataFrame, of: int, size: int = SAMPLE) -> np.ndarray:
+    """At most ``size`` unit vectors of a table of ``of`` rows, chosen by a hash of the id; a share about
+    twice as large is taken where the rows are, before they are put in order."""
+    share = F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1_000_000)) < int(min(1.0, 2 * size / max(of, 1)) * 1_000_000)
+    rows = vectors.where(share).orderBy(F.xxhash64("id"), "id").limit(size).select("vec").toArrow()
     return _unit(_matrix(rows.column("vec"), len(rows.column("vec")[0]))) if rows.num_rows else np.zeros((0, WIDTH), np.float32)
 
 
@@ -262,7 +264,7 @@ def neighbours_above(
     vectors = usable(df, id_col, vec_col, width).withColumn("class", F.struct(F.xxhash64("vec").alias("x"), F.hash("vec").alias("y")))
     members = vectors.select("id", "class")
     reps = members.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    sample = sampled(vectors)
+    sample = sampled(vectors, df.count())
     empty = df.sparkSession.createDataFrame([], "id long, other long, cosine double, rank int")
     if not len(sample):
         return empty
@@ -392,7 +394,7 @@ def nearest(
     times that of queries.
     """
     vectors = usable(df, id_col, vec_col, width)
-    sample = sampled(vectors)
+    sample = sampled(vectors, df.count())
     if not len(sample):
         return df.sparkSession.createDataFrame([], "id long, other long, cosine double, rank int")
     books = fit(sample)
