@@ -15,7 +15,6 @@ from folioflow.operators import fusion
 from folioflow.operators import graph as G
 from folioflow.operators import hierarchy as H
 from folioflow.operators import lexical as L
-from folioflow.operators import quality as Q
 from folioflow.operators import understand as U
 from folioflow.sources.snapshots import Snapshots
 from folioflow.sources.text_files import books, decode
