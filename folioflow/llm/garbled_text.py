@@ -7,9 +7,9 @@
 2. *Suspects.* A row's score is the largest sum of weights over one stretch of it (marks count
    up, ordinary pairs down).
 3. *Twins.* Suspects are joined with clean rows that nearly agree once non-ASCII characters are
-   stripped: texts that share ``SHARED`` of the ``KEYS`` least hashed windows of what is left, of
-   windows that over ``COMMON`` clean texts have only if all of what is left is equal. The stretches
-   between the ASCII anchors that both have are aligned; where a hypothesis turns the clean stretch
+   stripped: texts that share ``SHARED`` of the ``KEYS`` least hashed windows of what is left, however
+   many texts have these windows (texts of the same windows are compared once, and a text goes to
+   its rarest windows only, of which twins share one). The stretches between the ASCII anchors that both have are aligned; where a hypothesis turns the clean stretch
    into the garbled one it gets a vote, and the pair of stretches is learned as a mapping. A twin
    that explains a weak suspect confirms it.
 4. *The rest.* Stretches without a twin are restored by the learned mappings, else by undoing
@@ -55,9 +55,9 @@ HYPOTHESES: tuple[tuple[str, ...], ...] = (
 )
 SAMPLE, BITS, SURE, WEAK, GAIN = 2_000, 21, 26.0, 7.0, 10.0
 UP, DOWN, UNKNOWN, PLAIN = 6.0, -4.0, -1.0, -0.05
-# Printable ASCII characters of a window of a skeleton, windows of a text, of these shared by twins, texts
-# that have a common window; characters aligned at once.
-ANCHORS, KEYS, SHARED, COMMON, WINDOW = 8, 8, 3, 20, 8
+# Printable ASCII characters of a window of a skeleton, windows of a text, of these shared by twins;
+# characters aligned at once.
+ANCHORS, KEYS, SHARED, WINDOW = 8, 8, 3, 8
 SINGLE = 3  # fewer characters that turn into as many prove nothing
 NEAR, LOSS = 12, 5.0  # characters between stretches of one loss; what a lost place costs
 KEPT, SHORT = 16_384, 512  # stretches whose undoing a task remembers, of at most so many characters
@@ -404,16 +404,25 @@ _UNPRINTED = re.compile(b"[^!-~]+")
 _ANCHOR = re.compile("[0-9A-Za-z]+|[\x00-\x7f]")
 
 
+@lru_cache(maxsize=1_024)
+def _anchors(text: str) -> tuple[list[re.Match], list[str], Counter]:
+    found = list(_ANCHOR.finditer(text))
+    names = [m[0] for m in found]
+    return found, names, Counter(names)
+
+
 def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     """Stretches (garbled, clean) between ASCII anchors that both texts have in the same order, without
     what the stretches share at the ends. Anchors that one text lacks are passed over with their
     stretches; texts that share less than half of their anchors have none."""
-    ours, theirs = list(_ANCHOR.finditer(garbled)), list(_ANCHOR.finditer(clean))
-    shared = (Counter(m[0] for m in ours) & Counter(m[0] for m in theirs)).total()
-    if 2 * shared < max(len(ours), len(theirs)):  # no twins
-        return []
-    blocks = SequenceMatcher(None, [m[0] for m in ours], [m[0] for m in theirs], autojunk=False).get_matching_blocks()
-    both = [(ours[b.a + k], theirs[b.b + k], k > 0) for b in blocks for k in range(b.size)]
+    (ours, our_names, our_counts), (theirs, their_names, their_counts) = _anchors(garbled), _anchors(clean)
+    if our_names == their_names:
+        both = [(g, c, k > 0) for k, (g, c) in enumerate(zip(ours, theirs, strict=True))]
+    else:
+        if 2 * (our_counts & their_counts).total() < max(len(ours), len(theirs)):  # no twins
+            return []
+        blocks = SequenceMatcher(None, our_names, their_names, autojunk=False).get_matching_blocks()
+        both = [(ours[b.a + k], theirs[b.b + k], k > 0) for b in blocks for k in range(b.size)]
     pairs, last = [], None
     for g, c, goes_on in both:
         begins = last is None and g is ours[0] and c is theirs[0]
@@ -438,11 +447,10 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tbl, row_id, key, whole, least, twin) of texts with other than ASCII characters: the least hashes
-    of their skeletons' windows, a row each, the hash of the skeleton, how many keys a twin must share,
-    and the hash of the text."""
+    """(tbl, row_id, key, least, twin) of texts with other than ASCII characters: the least hashes of their
+    skeletons' windows, a row each, how many keys a twin must share, and the hash of the text."""
     for batch in batches:
-        at, keys, whole, least, twin = [], [], [], [], []
+        at, keys, least, twin = [], [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             skeleton = _UNPRINTED.sub(b"", text.encode("ascii", "ignore"))
             if len(skeleton) < ANCHORS or text.isascii():
@@ -452,14 +460,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.unique((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))[:KEYS]
             at += [i] * len(h)
             keys.append(h.view(np.int64))
-            whole += [_hash(skeleton)] * len(h)
             least += [min(SHARED, len(h))] * len(h)
             twin += [_hash(text.encode("utf-8", "surrogatepass"))] * len(h)
         if at:
             own = batch.select(["tbl", "row_id"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array(np.concatenate(keys)), pa.array(whole, pa.int64()), pa.array(least, pa.int32()), pa.array(twin, pa.int64())],
-                names=["tbl", "row_id", "key", "whole", "least", "twin"],
+                [*own.columns, pa.array(np.concatenate(keys)), pa.array(least, pa.int32()), pa.array(twin, pa.int64())],
+                names=["tbl", "row_id", "key", "least", "twin"],
             )
 
 
@@ -473,6 +480,12 @@ def _changed(garbled: str, clean: str) -> bool:
     return 2 * same < max(len(garbled), len(clean))
 
 
+@lru_cache(maxsize=4_096)
+def _probed(probe: str) -> tuple[str, ...]:
+    """What every hypothesis makes of a few characters, without what the neighbours decide."""
+    return tuple(inner[2:-2] or inner for inner in (garble(probe, how) for how in HYPOTHESES))
+
+
 def explained(garbled: str, clean: str) -> tuple[int, bool] | None:
     """(hypothesis, whether it makes all of ``garbled``) of a stretch and its clean twin.
 
@@ -483,10 +496,8 @@ def explained(garbled: str, clean: str) -> tuple[int, bool] | None:
         return None
     parts = [clean[i : i + WINDOW] for i in range(0, max(1, len(clean) - WINDOW + 1), WINDOW)]
     best, most = None, 0.5
-    probe = clean[len(clean) // 2 :][:WINDOW]
-    for i, how in enumerate(HYPOTHESES):
-        inner = garble(probe, how)
-        if (inner[2:-2] or inner) not in garbled:
+    for i, (how, inner) in enumerate(zip(HYPOTHESES, _probed(clean[len(clean) // 2 :][:WINDOW]), strict=True)):
+        if inner not in garbled:
             continue
         if garble(clean, how) == garbled and _changed(garbled, clean):
             return i, True
@@ -599,6 +610,23 @@ def learn(rows: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Weights:
     return Weights(counts, rows.count(), [t.replace("\0", " ") for t in some], bits)
 
 
+def shared_keys(asks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(keys, least, twin_keys): all pairs of ``asks(keys, least)`` and ``sets(twin_keys)`` that share
+    ``least`` keys.
+
+    Sets of keys that occur often meet once. Of n keys of which ``least`` must be shared one is among the
+    n - ``least`` + 1 rarest, so the others, which many sets have, make no pairs of their own.
+    """
+    asks, sets = asks.distinct(), sets.distinct()
+    there = sets.select("twin_keys", F.explode("twin_keys").alias("key"))
+    rare = there.groupBy("key").agg(F.count("*").alias("n"))
+    asked = asks.select("keys", "least", F.explode("keys").alias("key")).join(rare, "key", "left").na.fill(0, ["n"])
+    few = asked.groupBy("keys", "least").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("by"))
+    few = few.select("keys", "least", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("least") + 1)).alias("x"))
+    pairs = few.select("keys", "least", F.col("x.key").alias("key")).join(there, "key").select("keys", "least", "twin_keys").distinct()
+    return pairs.where(F.size(F.array_intersect("keys", "twin_keys")) >= F.col("least"))
+
+
 def find_garbled(
     tables: list[tuple[str, DataFrame, str, str]], bits: int = BITS, restoring: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -626,33 +654,27 @@ def find_garbled(
 
     # near-twins share some of the least hashes of the windows of what is printable ASCII in them
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select("tbl", "row_id", "text").mapInArrow(_windows, "tbl string, row_id long, key long, whole long, least int, twin long")
+        return df.select("tbl", "row_id", "text").mapInArrow(_windows, "tbl string, row_id long, key long, least int, twin long")
 
-    asks = written(keyed(suspects).select("tbl", "row_id", "key", "whole", "least"), "p2-asks")
+    asks = written(keyed(suspects).drop("twin"), "p2-asks")
     clean = written(
         keyed(rows)
         .join(asks.select("key").distinct(), "key", "left_semi")
         .join(suspects.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti")
-        .select("key", "whole", F.col("tbl").alias("twin_tbl"), F.col("row_id").alias("twin_id"), "twin"),
+        .groupBy("twin")  # equal texts are one twin
+        .agg(F.min(F.struct("tbl", "row_id")).alias("t"), F.array_sort(F.collect_set("key")).alias("twin_keys"))
+        .select(F.col("t.tbl").alias("twin_tbl"), F.col("t.row_id").alias("twin_id"), "twin_keys"),
         "p2-clean",
     )
-    # equal texts are one twin; a window that many clean texts have tells nothing, and of these only
-    # equal skeletons meet
-    named = clean.groupBy("twin").agg(F.min(F.struct("twin_tbl", "twin_id")).alias("t")).select("twin", "t.twin_tbl", "t.twin_id")
-    clean = clean.select("key", "whole", "twin").distinct()
-    common = clean.groupBy("key").agg((F.count("*") > COMMON).alias("common"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(common, "key").withColumn("whole", F.when(F.col("common"), F.col("whole")).otherwise(F.lit(0))).drop("common")
-
-    met = placed(asks).join(placed(clean), ["key", "whole"]).groupBy("tbl", "row_id", "twin", "least").agg(F.count("*").alias("shared"))
-    met = met.where(F.col("shared") >= F.col("least")).join(named, "twin").select("tbl", "row_id", "twin_tbl", "twin_id")
+    asks = asks.groupBy("tbl", "row_id", "least").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    met = asks.join(shared_keys(asks.select("keys", "least"), clean.select("twin_keys")), ["keys", "least"]).join(clean, "twin_keys")
+    met = met.select("tbl", "row_id", "twin_tbl", "twin_id").distinct()
     twins = rows.select(F.col("tbl").alias("twin_tbl"), F.col("row_id").alias("twin_id"), F.col("text").alias("twin"))
+    twins = twins.join(met.select("twin_tbl", "twin_id").distinct(), ["twin_tbl", "twin_id"], "left_semi").distinct()
     told = written(
-        met.join(twins, ["twin_tbl", "twin_id"])
-        .join(suspects.select("tbl", "row_id", "text"), ["tbl", "row_id"])
+        met.join(suspects.select("tbl", "row_id", "text").distinct(), ["tbl", "row_id"])
+        .join(twins, ["twin_tbl", "twin_id"])  # a twin's rows come one after the other
         .select("tbl", "row_id", "text", "twin")
-        .distinct()
         .mapInArrow(_explain, "tbl string, row_id long, share double, hypothesis int, garbled string, clean string, twin string"),
         "p2-twins",
     )

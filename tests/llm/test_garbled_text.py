@@ -62,6 +62,28 @@ def test_near_twins_with_edits_vote(spark):
     assert {r["hypothesis"] for r in votes.collect()} >= {"utf-8/big5", "utf-8/western", "gb18030/cp1251"}
 
 
+def test_twins_share_windows_that_many_texts_have(spark):
+    """Windows of a boilerplate that hundreds of clean texts have are shared windows too, also where what is
+    left differs by an edit; every pair that shares enough is met."""
+    rows = [r.split("\n\n")[0] + f"\n\nfree e-books at www.example-shelf.net, part {i}" for i, r in enumerate(clean_rows(200, seed=6))]
+    head = rows[7].split("\n\n")[0]
+    data = [*enumerate(rows), (1007, g.garble(head, ("utf-8", "big5")) + "\n\nfree e-books at www.example-shelf.net, part 9999")]
+    affected, votes = g.find_garbled([("t", spark.createDataFrame(data, "id long, text string"), "id", "text")])
+    assert {r["row_id"]: "twin" in (r["how"] or "") for r in affected.collect()} == {1007: True}
+    assert {r["hypothesis"] for r in votes.collect()} == {"utf-8/big5"}
+
+
+def test_all_pairs_that_share_keys(spark):
+    rng = random.Random(3)
+    draw = lambda n: sorted({int(rng.paretovariate(0.6)) for _ in range(n)})
+    asks = [(draw(8), rng.choice([1, 2, 3])) for _ in range(150)]
+    asks, sets = [(k, n) for k, n in asks if n <= len(k)], [draw(8) for _ in range(200)]
+    got = g.shared_keys(spark.createDataFrame(asks, "keys array<long>, least int"), spark.createDataFrame([(x,) for x in sets], "twin_keys array<long>"))
+    want = {(tuple(k), n, tuple(x)) for k, n in asks for x in sets if len({*k} & {*x}) >= n}
+    found = [(tuple(r["keys"]), r["least"], tuple(r["twin_keys"])) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_alignment_passes_over_edits_of_anchors():
     assert g.align("Ã©A1Ã¨B2Ã»", "éA1èB2û") == [("Ã©", "é"), ("Ã¨", "è"), ("Ã»", "û")]
     assert g.align("Ã©A1Ã¨C3Ã»D4ß", "éA1èB2ûD4ß") == [("Ã©", "é")]
