@@ -14,7 +14,7 @@ from folioflow.operators import understand as U
 from folioflow.plans import sql as S
 from folioflow.plans.register import query
 from folioflow.session import table
-from folioflow.sources.shared import is_there, new_path
+from folioflow.sources.shared import is_there, new_path, write
 
 
 _BUILT: dict[tuple[str, str, str], tuple[str, object]] = {}
@@ -33,7 +33,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published chunks with a number ``doc``, written once and read from then on."""
 
     def build(path: str) -> DataFrame:
-        C.published(table(spark, sf_dir, "novel_chunks")).withColumn("doc", F.monotonically_increasing_id()).write.parquet(path)
+        write(C.published(table(spark, sf_dir, "novel_chunks")).withColumn("doc", F.monotonically_increasing_id()), path)
         return spark.read.parquet(path)
 
     return _once(spark, sf_dir, "published", build)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -19,6 +21,7 @@ from folioflow.operators import graph as G
 from folioflow.operators import hierarchy as H
 from folioflow.operators import lexical as L
 from folioflow.operators import understand as U
+from folioflow.sources.shared import written
 from folioflow.sources.snapshots import Snapshots
 from folioflow.sources.text_files import books, decode
 
@@ -180,3 +183,21 @@ def test_text_files(spark, tmp_path):
     got = {r["novel"]: (r["text"], r["encoding"]) for r in books(spark, str(tmp_path)).collect()}
     assert got == {"甲": ("第一章\n你好", "gb18030"), "b": ("hello", "utf-8")}
     assert decode(b"ab\xff") == ("ab", "utf-8", True, 1)
+
+
+def test_what_a_written_table_shuffled_does_not_stay_beside_it(spark):
+    """What the exchanges of a plan leave on disk goes once its table is there, not at the next collection of garbage."""
+    places = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+
+    def shuffled() -> set[str]:
+        return {p.name for d in places for p in Path(d.getPath()).rglob("shuffle_*")}
+
+    before, kept = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = written(spark.range(10_000).withColumn("k", F.col("id") % 100).groupBy("k").agg(F.sum("id").alias("n")), "sums")
+    for _ in range(50):  # it goes in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert got.agg(F.sum("n")).first()[0] == sum(range(10_000)) and got.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
