@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +32,25 @@ def chapters_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return whole.select(*cols).unionByName(single.select(*cols))
 
 
-def grow(members: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """One question's groups, grown outwards from their hits until the shared budget is used: each
-    round the side that fits and costs least, then has grown least, then comes first."""
-    picked: list[tuple[int, int]] = []
-    hit = members[members["hit"]]
-    left, cut = budget - int(hit["tokens"].sum()), False
+def _kept(ranks: list[int], tokens: list[int], hit: list[bool], budget: int) -> tuple[list[int], bool]:
+    """Places of the members that are taken, and whether anything is left out. Members of one group are
+    in order of their chunks."""
+    groups: dict[int, list[int]] = {}
+    for i, g in enumerate(ranks):
+        groups.setdefault(g, []).append(i)
+    kept: list[int] = []
+    left, cut = budget - sum(t for t, h in zip(tokens, hit, strict=True) if h), False
     if left < 0:
         left, cut = 0, True
-    for g, own in sorted(members.groupby("group_rank"), key=lambda x: x[0]):
-        ids, cost, hits = own["chunk_id"].tolist(), own["tokens"].tolist(), own["hit"].tolist()
-        lo = min(i for i, h in enumerate(hits) if h)
-        hi = max(i for i, h in enumerate(hits) if h)
+    for _, own in sorted(groups.items()):
+        cost, hits = [tokens[i] for i in own], [k for k, i in enumerate(own) if hit[i]]
+        lo, hi = hits[0], hits[-1]
         grown = [0, 0]
         while True:
             sides = []
             if lo > 0 and cost[lo - 1] <= left:
                 sides.append((cost[lo - 1], grown[0], 0))
-            if hi < len(ids) - 1 and cost[hi + 1] <= left:
+            if hi < len(own) - 1 and cost[hi + 1] <= left:
                 sides.append((cost[hi + 1], grown[1], 1))
             if not sides:
                 break
@@ -56,12 +58,26 @@ def grow(members: pd.DataFrame, budget: int) -> pd.DataFrame:
             left -= c
             grown[side] += 1
             lo, hi = (lo - 1, hi) if side == 0 else (lo, hi + 1)
-        cut = cut or lo > 0 or hi < len(ids) - 1
-        picked += [(g, i) for i in ids[lo : hi + 1]]
-    out = pd.DataFrame(picked, columns=["group_rank", "chunk_id"])
-    out = out.merge(members[["group_rank", "chunk_id", "novel", "tokens"]], on=["group_rank", "chunk_id"])
-    out["qid"], out["truncated"] = members["qid"].iloc[0], cut
-    return out[["qid", "novel", "chunk_id", "group_rank", "tokens", "truncated"]]
+        cut = cut or lo > 0 or hi < len(own) - 1
+        kept += own[lo : hi + 1]
+    return kept, cut
+
+
+_GROWN = ["qid", "novel", "chunk_id", "group_rank", "tokens"]
+
+
+def grow(members: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """One question's groups, grown outwards from their hits until the shared budget is used: each
+    round the side that fits and costs least, then has grown least, then comes first."""
+    kept, cut = _kept(members["group_rank"].tolist(), members["tokens"].tolist(), members["hit"].tolist(), budget)
+    return members.iloc[kept][_GROWN].assign(truncated=cut).reset_index(drop=True)
+
+
+def _grow(members: pa.Table, budget: int) -> pa.Table:
+    """The same of a table, without pandas, whose frames cost more than the work on a few rows."""
+    own = members.sort_by([("group_rank", "ascending"), ("chunk_id", "ascending")])
+    kept, cut = _kept(*(own.column(c).to_pylist() for c in ("group_rank", "tokens", "hit")), budget)
+    return own.take(pa.array(kept, pa.int64())).select(_GROWN).append_column("truncated", pa.array([cut] * len(kept), pa.bool_()))
 
 
 def chapter_budget(hits: DataFrame, chunks: DataFrame, budget: int = CHAPTER_MAX_TOKENS) -> DataFrame:
@@ -76,8 +92,8 @@ def chapter_budget(hits: DataFrame, chunks: DataFrame, budget: int = CHAPTER_MAX
     after = F.first(hit_id, True).over(near.rowsBetween(0, Window.unboundedFollowing))
     far = F.least(F.coalesce(F.col("chunk_id") - before, F.lit(1 << 30)), F.coalesce(after - F.col("chunk_id"), F.lit(1 << 30)))
     close = marked.withColumn("far", far).where(F.col("far") <= budget).select("qid", "novel", "chunk_id", "group_rank", "tokens", "hit")
-    return close.groupBy("qid").applyInPandas(
-        lambda pdf: grow(pdf.sort_values(["group_rank", "chunk_id"]), budget),
+    return close.groupBy("qid").applyInArrow(
+        lambda members: _grow(members, budget),
         "qid long, novel string, chunk_id int, group_rank int, tokens int, truncated boolean",
     )
 

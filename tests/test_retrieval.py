@@ -106,6 +106,28 @@ def test_chapter_growth_within_budget():
     assert out["tokens"].tolist() == [50] and out["truncated"].all()
 
 
+def test_chapter_budget_of_many_questions_makes_no_frames(spark, shelf, capsys):
+    """Each question's chapters are grown as ``grow`` does it, without a pandas frame for every question."""
+    hits = spark.createDataFrame([(q, "A", (q * k) % 10, k) for q in range(1, 40) for k in (1, 3)], "qid long, novel string, chunk_id int, rank int")
+    hits = hits.dropDuplicates(["qid", "chunk_id"])
+    got = X.chapter_budget(hits, shelf, 45)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
+    tokens = {(r["novel"], r["chunk_id"]): (r["chapter_title"], len(r["text"])) for r in shelf.collect()}
+    want = []
+    for q in range(1, 40):
+        asked = [(r["rank"], r["chunk_id"]) for r in hits.where(F.col("qid") == q).collect()] if q < 6 else []
+        titles = {}
+        for rank, c in sorted(asked):
+            titles.setdefault(tokens["A", c][0], rank)
+        members = [(q, "A", c, titles[t], n, c in {x for _, x in asked}) for (book, c), (t, n) in sorted(tokens.items()) if book == "A" and t in titles]
+        if members:
+            frame = pd.DataFrame(members, columns=["qid", "novel", "chunk_id", "group_rank", "tokens", "hit"])
+            want += X.grow(frame, 45).itertuples(index=False, name=None)
+    assert sorted(tuple(r) for r in got.where("qid < 6").collect()) == sorted(want)
+
+
 def test_chapter_groups(spark, shelf):
     hits = spark.createDataFrame([(1, "A", 4, 1), (1, "B", 2, 2)], "qid long, novel string, chunk_id int, rank int")
     got = sorted((r["novel"], r["chunk_id"]) for r in X.chapters_of(hits, shelf).collect())
