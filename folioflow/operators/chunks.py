@@ -80,14 +80,26 @@ def chunk_books(books: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, o
     return chunks.select(key, (F.row_number().over(order) - 1).alias("chunk_id"), "title", "text")
 
 
-def published(novel_chunks: DataFrame) -> DataFrame:
-    """The latest delivery of every (novel, chunk_id), with text, titles stripped."""
+MOST_AGAIN = 1_000_000
+
+
+def published(novel_chunks: DataFrame, most_again: int = MOST_AGAIN) -> DataFrame:
+    """The latest delivery of every (novel, chunk_id), with text, titles stripped.
+
+    Only chunks that were delivered more than once are shuffled, unless these are more than ``most_again``.
+    """
     latest = Window.partitionBy("novel", "chunk_id").orderBy(F.desc("id"))
     title = T.strip(F.col("chapter_title"))
+    pool = novel_chunks.withColumn("_k", F.xxhash64("novel", "chunk_id"))
+    # of chunks whose hashes are equal by chance the window tells which they are
+    again = pool.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select("_k")
+    few = again.count() <= most_again
+    more = pool.join(F.broadcast(again), "_k", "left_semi") if few else pool
+    last = more.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    if few:
+        last = pool.join(F.broadcast(again), "_k", "left_anti").unionByName(last)
     return (
-        novel_chunks.withColumn("_r", F.row_number().over(latest))
-        .where("_r = 1")
-        .drop("_r")
+        last.drop("_k")
         .where(~T.is_blank(F.col("text")))
         .withColumn("chapter_title", F.when(title != "", title))
     )

@@ -17,7 +17,7 @@ from folioflow.operators import lexical as L
 from folioflow.operators import understand as U
 from folioflow.plans import sql as S
 from folioflow.plans.register import query
-from folioflow.plans.texts import chunks, latest_turns, shelf
+from folioflow.plans.texts import chunks, latest_turns, shelf, vectors
 from folioflow.session import table
 
 
@@ -34,10 +34,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = f"{S.NODES}, q AS (SELECT summary_id AS qid, title AS question, embedding AS vec, novel, start_chunk_id, end_chunk_id FROM h WHERE level = 'chapter' AND summary_id % 50 = 0 AND title IS NOT NULL)"
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where(T.usable_vector(F.col("embedding"), EMBEDDING_WIDTH))
-
-
 def with_vector(q: DataFrame) -> DataFrame:
     return q.where(T.usable_vector(F.col("vec"), EMBEDDING_WIDTH))
 

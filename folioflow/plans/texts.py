@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.config import EMBEDDING_WIDTH
 from folioflow.functions import text as T
 from folioflow.functions import words
 from folioflow.operators import chunks as C
@@ -30,15 +31,26 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build):
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published chunks with a number ``doc``, written once and read from then on."""
+    """The published chunks without vectors and with a number ``doc``, written once and read from then on."""
 
     def build(path: str) -> DataFrame:
-        write(C.published(table(spark, sf_dir, "novel_chunks")).withColumn("doc", F.monotonically_increasing_id()), path)
+        write(C.published(table(spark, sf_dir, "novel_chunks").drop("embedding")).withColumn("doc", F.monotonically_increasing_id()), path)
         return spark.read.parquet(path)
 
     return _once(spark, sf_dir, "published", build)
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(novel, chunk_id, embedding) of the published chunks that have a usable vector, written once."""
+
+    def build(path: str) -> DataFrame:
+        found = C.published(table(spark, sf_dir, "novel_chunks").select("id", "novel", "chunk_id", "chapter_title", "text", "embedding"))
+        write(found.where(T.usable_vector(F.col("embedding"), EMBEDDING_WIDTH)).select("novel", "chunk_id", "embedding"), path)
+        return spark.read.parquet(path)
+
+    return _once(spark, sf_dir, "vectors", build)
+
+
 def shelf(spark: SparkSession, sf_dir: str) -> L.Index:
     """The postings of the published chunks, their texts without contexts."""
     published = chunks(spark, sf_dir)

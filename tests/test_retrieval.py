@@ -223,3 +223,32 @@ def test_what_a_written_table_shuffled_does_not_stay_beside_it(spark):
     assert shuffled() <= before
     assert got.agg(F.sum("n")).first()[0] == sum(range(10_000)) and got.count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
+def test_postings_are_scored_where_they_lie(spark):
+    """What is asked for of a table of files is not moved, and moved or not gives the same rows; the least chunks of a tie stay."""
+    chunks = spark.range(0, 800, 1, 8).select(F.when(F.col("id") % 2 == 0, "B").otherwise("A").alias("novel"), F.col("id").cast("int").alias("chunk_id"), F.concat(F.when(F.col("id") % 3 == 0, "山谷灯火").otherwise("渡口"), F.repeat(F.lit("石阶"), (F.col("id") % 5).cast("int"))).alias("text"))
+    asked = spark.createDataFrame([("a", "山谷"), ("b", "山谷！"), ("c", "渡口石阶"), ("d", "无")], "qid string, question string")
+    found, moved = L.bm25(chunks, asked, 7), L.bm25(chunks, asked, 7, most_asked=0)
+    assert "RepartitionByExpression" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in moved._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(tuple, found.select("qid", "rank", "novel", "chunk_id", "score").collect()))
+    assert rows == sorted(map(tuple, moved.select("qid", "rank", "novel", "chunk_id", "score").collect()))
+    assert [r[2:4] for r in rows if r[0] == "a"] == [r[2:4] for r in rows if r[0] == "b"] == [("A", 15 + 30 * i) for i in range(7)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 100])
+def test_parts_end_where_a_chunk_ends(size):
+    doc = [5, 5, 5, 2, 2, 9, 9, 9, 9, 9, 9, 9, 1, 4, 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(doc[lo : lo + 4], pa.int64())], names=["doc"]) for lo in range(0, len(doc), 4)] + [pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["doc"])]
+    parts = [[d for b in part for d in b.column("doc").to_pylist()] for part in L._parts(iter(batches), size)]
+    assert [d for p in parts for d in p] == doc
+    assert all(not set(a) & set(b) for i, a in enumerate(parts) for b in parts[:i]) and (len(parts) > 1) == (size < 100)
+
+
+def test_published_moves_only_what_came_again(spark):
+    rows = [(1, "a", 0, "x", "旧"), (2, "a", 0, "y", "新"), (3, "a", 1, None, "独"), (4, None, 1, "x", "无"), (5, None, 1, "x", "后"), (6, "a", 2, "x", " "), (7, "a", 3, "x", "先"), (8, "a", 3, "x", None)]
+    df = spark.createDataFrame(rows, "id long, novel string, chunk_id int, chapter_title string, text string")
+    got = [sorted(r["id"] for r in C.published(df, most_again=n).collect()) for n in (0, 1_000)]
+    assert got == [[2, 3, 5], [2, 3, 5]]
+    assert "Union" in C.published(df)._jdf.queryExecution().optimizedPlan().toString()
