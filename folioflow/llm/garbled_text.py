@@ -25,6 +25,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -435,15 +436,15 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
         pairs.append((garbled, clean))
     elif last[0] is ours[-1] and last[1] is theirs[-1]:
         pairs.append((garbled[last[0].end() :], clean[last[1].end() :]))
-    out = []
-    for g, c in pairs:
-        n = min(len(g), len(c))
-        head = next((i for i in range(n) if g[i] != c[i]), n)
-        tail = next((i for i in range(n - head) if g[-1 - i] != c[-1 - i]), n - head)
-        g, c = g[head : len(g) - tail], c[head : len(c) - tail]
-        if g and c:
-            out.append((g, c))
-    return out
+    return [(g, c) for g, c in (_apart(*pair) for pair in pairs) if g and c]
+
+
+def _apart(g: str, c: str) -> tuple[str, str]:
+    """Two stretches without what they share at the ends."""
+    n = min(len(g), len(c))
+    head = next((i for i in range(n) if g[i] != c[i]), n)
+    tail = next((i for i in range(n - head) if g[-1 - i] != c[-1 - i]), n - head)
+    return g[head : len(g) - tail], c[head : len(c) - tail]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,10 +481,17 @@ def _changed(garbled: str, clean: str) -> bool:
     return 2 * same < max(len(garbled), len(clean))
 
 
+def _garbled(text: str) -> list[str]:
+    """What every hypothesis makes of a text, which is written only once in each encoding."""
+    data = {w: _encode(text, w, "replace") for w in WRITTEN}
+    once = ((_decode(data[how[0]], how[1], "replace"), how[2:]) for how in HYPOTHESES)
+    return [garble(made, rest) if rest else made for made, rest in once]
+
+
 @lru_cache(maxsize=4_096)
 def _probed(probe: str) -> tuple[str, ...]:
     """What every hypothesis makes of a few characters, without what the neighbours decide."""
-    return tuple(inner[2:-2] or inner for inner in (garble(probe, how) for how in HYPOTHESES))
+    return tuple(inner[2:-2] or inner for inner in _garbled(probe))
 
 
 def explained(garbled: str, clean: str) -> tuple[int, bool] | None:
@@ -516,11 +524,48 @@ def explained(garbled: str, clean: str) -> tuple[int, bool] | None:
     return None if best is None else (best, False)
 
 
+_RUN, _WORD = re.compile("([^\x00-\x7f]+)"), string.ascii_letters + string.digits
+
+
+@lru_cache(maxsize=4_096)
+def _runs(text: str) -> dict[tuple[str, str], set[str]]:
+    """The runs of other than ASCII characters of a text, by the anchors before and after them."""
+    parts = _RUN.split(text)
+    out: dict[tuple[str, str], set[str]] = {}
+    for i in range(1, len(parts), 2):
+        before, after = parts[i - 1], parts[i + 1]
+        around = (before[len(before.rstrip(_WORD)) :] or before[-1:], after[: len(after) - len(after.lstrip(_WORD))] or after[:1])
+        out.setdefault(around, set()).add(parts[i])
+    return out
+
+
+@lru_cache(maxsize=4_096)
+def _within(probe: str) -> tuple[str, ...]:
+    """What ``_probed`` makes of ``probe`` where all of it is other than ASCII."""
+    return tuple({inner for inner in _probed(probe) if _RUN.fullmatch(inner)})
+
+
+@lru_cache(maxsize=65_536)
+def _told(garbled: str, clean: str) -> bool:
+    """Whether a hypothesis explains a run by another one, in any alignment that puts them together."""
+    g, c = _apart(garbled, clean)
+    return bool(g and c) and any(map(g.__contains__, _within(c[len(c) // 2 :][:WINDOW]))) and explained(g, c) is not None
+
+
+def may_explain(garbled: str, clean: str) -> bool:
+    """False only where no stretch of ``align`` is explained. Aligned stretches are whole runs of other than
+    ASCII characters between the same anchors, so these are looked at before anything is aligned."""
+    ours, theirs = _runs(garbled), _runs(clean)
+    return any(_told(g, c) for around in ours.keys() & theirs.keys() for g in ours[around] for c in theirs[around])
+
+
 def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Twins to (row, share of differing stretches made exactly, hypothesis, garbled, clean, twin's text)."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
+            if not may_explain(r["text"], r["twin"]):
+                continue
             pairs = align(r["text"], r["twin"])
             told = [explained(g, c) for g, c in pairs]
             share = sum(t is not None and t[1] for t in told) / max(1, len(told))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from folioflow.llm import garbled_text as g
 
 
@@ -136,3 +138,20 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, text string")
     affected, votes = g.find_garbled([("t", df, "id", "text")])
     assert affected.count() == 0 and votes.count() == 0
+
+
+def test_only_texts_with_explained_runs_are_aligned(monkeypatch):
+    aligned = []
+    monkeypatch.setattr(g, "align", lambda *pair, align=g.align: aligned.append(pair) or align(*pair))
+    rng = random.Random(3)
+    rows = clean_rows(40, seed=4)
+    pairs = [(f"{x[:50]}; {x[50:]}", f"{y[:50]}; {y[50:]}") for x, y in zip(rows, reversed(rows), strict=True)]
+    for x in rows[:20]:
+        how = rng.choice(g.HYPOTHESES)
+        pairs.append((f"a{g.garble('é', how)}b, {g.garble(x[:60], how)}; {x[60:]}", f"aéb, {x[:60]}; {x[60:]}"))
+    table = [{"tbl": "t", "row_id": i, "text": t, "twin": twin} for i, (t, twin) in enumerate(pairs)]
+    got = [r for b in g._explain(iter([pa.RecordBatch.from_pylist(table)])) for r in b.to_pylist()]
+    seen = [*aligned]
+    told = {i for i, (t, twin) in enumerate(pairs) if any(g.explained(*x) is not None for x in g.align(t, twin))}
+    assert {r["row_id"] for r in got} == told
+    assert told and not {*seen} & {*pairs[:40]}
