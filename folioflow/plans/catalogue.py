@@ -243,10 +243,12 @@ SELECT qid, hit_rank::INT AS hit_rank, baseline_rank, CASE WHEN hit_rank IS NOT
 def case_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over the shelf against a search for the title's letters in the own book, case by case."""
     q = P._questions_asked(spark, sf_dir)
-    found = q.withColumnRenamed("want", "novel").join(chunks(spark, sf_dir).select("novel", "chunk_id", "text"), "novel").where(F.col("text").contains(F.col("question")))
+    # a chunk without a number comes after all others and is nobody's answer
+    own = q.select("qid", F.col("want").alias("novel"), F.col("question").alias("needle"), "start_chunk_id", "end_chunk_id").where("qid IS NOT NULL")
+    found = own.join(L.first_containing(chunks(spark, sf_dir), own, 20).drop("r"), ["novel", "needle"])
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where("r <= 20")
-    own = ranked.where(F.col("chunk_id").between(F.col("start_chunk_id"), F.col("end_chunk_id"))).groupBy("qid").agg(F.min("r").alias("hit_rank"))
-    return E.compared(P._cases(spark, sf_dir), q.select("qid").join(own, "qid", "left"))
+    hits = ranked.where(F.col("chunk_id").between(F.col("start_chunk_id"), F.col("end_chunk_id"))).groupBy("qid").agg(F.min("r").alias("hit_rank"))
+    return E.compared(P._cases(spark, sf_dir).where("qid IS NOT NULL"), own.select("qid").distinct().join(hits, "qid", "left"))
 
 
 @query(f"WITH {P._CASES} SELECT want AS novel, count(DISTINCT chapter_title) AS chapters, count(DISTINCT b.qid) AS cases FROM q JOIN b ON b.qid = q.qid AND b.novel = want JOIN c ON c.novel = b.novel AND c.chunk_id = b.chunk_id GROUP BY 1")

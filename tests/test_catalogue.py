@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from folioflow.operators import hierarchy as H
 from folioflow.operators import lexical as L
 from folioflow.operators import quality as Q
 from folioflow.operators import understand as U
+from folioflow.plans import registry
 from folioflow.sources import shared
 from folioflow.sources.snapshots import Books, Snapshots
 
@@ -208,3 +210,21 @@ def test_indexed_text_takes_the_context(spark):
     assert L.bm25(L.indexed(df.drop("context")), q, 5).count() == 0
     reused, pending = X.cached_contexts(df, spark.createDataFrame([("x", "y")], "text_hash string, context string").union(df.select(F.md5("text"), "context")))
     assert [r["chunk_id"] for r in reused.collect()] == [0] and sorted(r["chunk_id"] for r in pending.collect()) == [1, 2]
+
+
+def test_cases_are_compared_in_one_pass_over_the_texts(spark, tmp_path):
+    """No title is held against every text of its book, and odd rows are as in SQL: chunks without a number, titles that are
+    empty, NULL or in more than twenty chunks, questions without a number or with that of another book's."""
+    chunk = [(i, "甲", i, f"石阶{i}号" + "山谷灯火" * (i % 2) + "渡" * (i % 7)) for i in range(60)]
+    chunk += [(100, "甲", None, "山谷灯火" + "无人知晓的去处" * 9), (101, "乙", 3, "渡口长亭"), (102, "乙", 4, "山谷灯火三更"), (103, None, 5, "山谷灯火")]
+    spark.createDataFrame([(*c[:3], None, c[3], None, None, None) for c in chunk], "id long, novel string, chunk_id int, chapter_title string, text string, embedding array<float>, token_count int, context string").write.parquet(f"{tmp_path}/novel_chunks.parquet")
+    node = [(1, "甲", "山谷灯火", 5, 9), (2, "甲", "山谷灯火", 50, 59), (3, "甲", "", 3, 4), (4, "甲", None, 0, 9), (5, "甲", "石阶7", 7, 7), (6, "甲", "没有", 0, 9), (7, "乙", "渡口", 3, 3), (7, "甲", "石阶59号", 59, 59), (None, "乙", "渡口", 3, 4), (8, None, "渡口", 3, 4), (9, "乙", "灯火三", None, 4), (10, "丙", "灯火", 0, 9)]
+    spark.createDataFrame([(n[0], n[1], "chapter", str(i), n[2], i, n[3], n[4], None, None) for i, n in enumerate(node)], "summary_id long, novel string, level string, node_id string, title string, node_order int, start_chunk_id int, end_chunk_id int, summary string, embedding array<float>").write.parquet(f"{tmp_path}/hierarchy_summaries.parquet")
+    got = registry.QUERIES["case_comparison"](spark, str(tmp_path))
+    assert "Contains(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    for name in ("novel_chunks", "hierarchy_summaries"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES["case_comparison"]).fetchall())
+    assert sorted(map(tuple, got.select("qid", "hit_rank", "baseline_rank", "change").collect())) == want
+    assert {r[0]: r[2] for r in want} == {1: 3, 2: None, 3: 4, 5: 1, 6: None, 7: 1, 8: None, 9: None, 10: None}

@@ -252,3 +252,25 @@ def test_published_moves_only_what_came_again(spark):
     got = [sorted(r["id"] for r in C.published(df, most_again=n).collect()) for n in (0, 1_000)]
     assert got == [[2, 3, 5], [2, 3, 5]]
     assert "Union" in C.published(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("most_asked", "taken"), [(L.MOST_ASKED, L.TAKEN), (50, 40)])
+def test_first_containing_against_brute_force(spark, monkeypatch, most_asked, taken):
+    rng = np.random.default_rng(5)
+    word = lambda most: "".join(rng.choice(list("ab第章𠀀"), rng.integers(0, most)))
+    texts = [(["B", "C", None, "D"][rng.integers(4)], int(i) if i % 40 else None, word(60)) for i in rng.permutation(400)]
+    needles = {("BCX"[rng.integers(3)], word(12)) for _ in range(99)} | {(b or "X", t[i % 9 : i % 9 + i // 4]) for i, (b, _, t) in enumerate(texts[:120])} | {("B", ""), ("B", texts[0][2]), ("C", texts[1][2] + "a"), ("C", "ab" * 20), ("B", None), (None, "a")}
+    chunks = spark.createDataFrame(texts, "novel string, chunk_id int, text string").coalesce(2).select("chunk_id", "text", "novel")
+    asked = spark.createDataFrame([*needles, *needles], "novel string, needle string")
+    monkeypatch.setattr(L, "TAKEN", taken)
+    got = sorted(map(tuple, L.first_containing(chunks, asked, 3, most_asked).select("novel", "needle", "r", "chunk_id").collect()))
+    want = []
+    for b, x in needles:
+        if b is not None and x is not None:
+            want += [(b, x, r, c) for r, c in enumerate(sorted(c for n, c, t in texts if n == b and c is not None and x in t)[:3], 1)]
+    assert got == sorted(want) and len({x for _, x, *_ in want}) > 50
+    # in one place with little room to compare in
+    held = L._needles(asked.dropna().distinct().withColumn("n", F.monotonically_increasing_id()))
+    batch = chunks.where("novel IS NOT NULL AND chunk_id IS NOT NULL").select("novel", F.col("chunk_id").cast("long"), "text").toArrow().combine_chunks().to_batches()
+    found = pa.Table.from_batches(list(L._first_containing(iter(batch), [SimpleNamespace(value=held)], 3)))
+    assert found.num_rows == len(want)
